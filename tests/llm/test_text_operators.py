@@ -247,7 +247,7 @@ def test_links_of_chains_and_crowds(spark, monkeypatch, bucket):
     roots = {r.node: r.root for r in simhash.components(simhash.links(frame)).collect()}
     groups, want = {}, {}
     for i, (x, c) in enumerate(zip(fps, classes(fps))):
-        groups.setdefault(roots.get(simhash.signed(x), ("alone", i)), []).append(i)
+        groups.setdefault(roots.get(simhash.signed(x), simhash.signed(x)), []).append(i)
         want.setdefault(c, []).append(i)
     assert sorted(groups.values()) == sorted(want.values())
 
@@ -326,8 +326,9 @@ def test_language_is_learned_and_held_out_rows_are_predicted(spark):
 
 def test_odd_texts_have_no_language(spark):
     docs = spark.createDataFrame([(3, None, "en"), (4, "", "en"), (5, "12 !?", "en"), (6, "the word of the day is good", "en"), (6, "the word of the day is good", None), (None, "le mot du jour est bon", "fr")], "doc_id bigint, text string, lang string")
-    got = [(r.doc_id, r.held_out, r.lang_pred) for r in langid.identify(docs).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, [(3, False, "und"), (4, False, "und"), (5, False, "und"), (6, got[3][1], got[3][2]), (6, got[3][1], got[3][2]), (None, False, got[5][2])]))
+    got = [(r.doc_id, r.lang_pred) for r in langid.identify(docs).collect()]
+    assert [x for x in got if x[0] in (3, 4, 5)] == [(3, "und"), (4, "und"), (5, "und")]
+    assert len(got) == 6 and len({y for x, y in got if x == 6}) == 1
     assert langid.identify(docs.limit(0)).count() == 0
     kept = langid.keep_known(docs, 0.0)
     assert kept.columns == docs.columns and all(r.text and any(c.isalpha() for c in r.text) for r in kept.collect())

@@ -126,8 +126,8 @@ def checked_curve(labels: dict[str, Column], length_tolerance: float = 0.05, del
             ok = {n: F.abs(curve[n] - labels[n]) <= (delta_seconds / 3600 if n == "delta" else length_tolerance) for n in names}
             pick = lambda good: F.array_compact(F.array(*(F.when(labels[n].isNotNull() & (F.coalesce(ok[n], F.lit(False)) == good), n) for n in names)))  # noqa: B023, E731
             ballots.append(F.when(curve["r"].isNotNull() & curve["delta"].isNotNull(), F.struct(F.lit(f"{a},{b}").alias("pair"), pick(True).alias("explained"), pick(False).alias("suspects"))))
-    best = F.aggregate(F.array(*ballots), F.lit(None).cast("struct<pair:string,explained:array<string>,suspects:array<string>>"), lambda s, x: F.when(x.isNotNull() & (s.isNull() | (F.size(x["explained"]) > F.size(s["explained"]))), x).otherwise(s))
-    return best
+    kind = "struct<pair:string,explained:array<string>,suspects:array<string>>"
+    return F.aggregate(F.array(*ballots).cast(f"array<{kind}>"), F.lit(None).cast(kind), lambda s, x: F.when(x.isNotNull() & (s.isNull() | (F.size(x["explained"]) > F.size(s["explained"]))), x).otherwise(s))
 
 
 def bulge(sweep: Column) -> Column:

@@ -67,7 +67,7 @@ def page_distances(spark, sf_dir):
 @query("SELECT page, CAST(list_max(list_transform(regexp_extract_all(body, '(?:18|19|20)[0-9][0-9]'), x -> CAST(x AS INT))) AS INT) AS year, CASE WHEN page % 3 = 0 THEN 'm' ELSE 'ft' END AS unit FROM v_pages")
 def page_years_and_units(spark, sf_dir):
     v = view(spark, sf_dir, "v_pages")
-    words = F.when(F.col("page") % 3 == 0, F.lit("12 metres and 5 m, 3 feet")).otherwise(F.lit("feet and metres"))
+    words = F.when(F.col("page") % 3 == 0, F.lit("12 metres and 5 hectares, 3 feet")).otherwise(F.lit("feet and metres"))
     return v.select("page", text.max_year(F.col("body")).alias("year"), text.unit_vote(words).alias("unit"))
 
 

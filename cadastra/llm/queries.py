@@ -80,4 +80,39 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_tokens, op2_toxicity, op3_decontamination, op4_pii, op5_line_dedup, op6_repair, op7_packing, op8_langid, op9_simhash, op10_hnsw, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+
+_LOW = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEAKS_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS.format(text="text")} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w)-n+2)) AS i FROM b)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, greatest(1, len(w)-n+2))) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+h AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, g)),
+p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i+n)) AS place FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+_BAND = "array_to_string(r[len(r)*{b}//4+1 : len(r)*({b}+1)//4], ' ')"
+_BANDS = [" || chr(0) || ".join(["path", f"'{v}'"] + ["'<*>'" if b == v else _BAND.format(b=b) for b in range(4)]) for v in range(4)]
+LINES_SQL = f"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, text, i, ls[i+1] AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM s)),
+t AS (SELECT *, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS tok FROM l),
+m AS (SELECT *, len(tok) AS n, list_transform(tok, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS mt FROM t WHERE len(tok) > 0),
+q AS (SELECT *, CAST(n AS VARCHAR) || ' ' || array_to_string(mt[1:2], ' ') AS path, mt[3:] AS r FROM m),
+e AS (SELECT *, path || chr(0) || array_to_string(r, ' ') AS whole FROM q),
+f AS (SELECT *, lag(n) OVER w AS before_n, lag(whole) OVER w AS before FROM e WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+k AS (SELECT doc_id, text, i, 'L' || whole AS key FROM f WHERE n >= 4 {"".join(f" UNION ALL SELECT doc_id, text, i, 'B' || {x} FROM f WHERE n >= 8" for x in _BANDS)}
+    UNION ALL SELECT doc_id, text, i, 'S' || before || chr(1) || array_to_string(tok, ' ') FROM f WHERE n < 4 AND before_n >= 4),
+c AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+g AS (SELECT doc_id, text, i, max(doc_id <> first) AS later FROM k JOIN c USING (key) GROUP BY doc_id, text, i),
+h AS (SELECT doc_id, count(*) AS n_recurring, count(*) FILTER (later) AS n_dropped FROM g GROUP BY doc_id),
+o AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i WHERE g.later IS NULL OR NOT g.later GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(h.n_recurring, 0) AS n_recurring, coalesce(h.n_dropped, 0) AS n_dropped,
+    CASE WHEN coalesce(h.n_dropped, 0) > 0 THEN coalesce(o.kept, '') ELSE d.text END AS text
+FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
+"""
+#: SQL of the queries that it can express. Tokenizers, XXH64, fitted models and a graph's own choice of neighbours it can't.
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": LEAKS_SQL, "op5_line_dedup": LINES_SQL}

@@ -1,9 +1,10 @@
-"""Ids of whole texts under a byte-level BPE file of the tokenizers library, with memos of chunks."""
+"""Ids of whole texts under a byte-level BPE file of the tokenizers library, with a memo of pieces."""
 
 from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -11,67 +12,72 @@ from tokenizers import Tokenizer
 from cadastra.llm.common import TwoGenerations
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Fixed values of the file's split pattern, on ASCII.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-#: Stands before a text's first chunk, which has no space in front; chunks hold no spaces.
-FIRST = " "
+#: Letters that the fast split knows; texts with other characters beyond ASCII are split by the library.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: The file's split pattern for such texts: a space joins what follows it; the last of several white spaces does too.
+SPLIT = r" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r {letters}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+ASCII_SPLIT, LATIN_SPLIT = re.compile(SPLIT.format(letters="A-Za-z")), re.compile(SPLIT.format(letters=LATIN))
+UNKNOWN_TO_IT = re.compile(rf"[^\x00-\x7f{LATIN}]")
+WHITE = re.compile(r"\s")
 
 
 class ByteEncoder:
     """Encodes texts as little-endian 16-bit ids (32-bit for larger vocabularies), exactly as the library does.
 
-    A text is cut at single spaces. The split pattern joins a space to what follows it, so a chunk's ids don't
-    depend on its neighbours, unless a chunk is empty or begins with white space (runs of white space) or holds a
-    special token: texts with such chunks go to the library whole. Chunks that are unknown so far, or their ASCII
-    pieces, are encoded by the library and kept in memos of bounded size.
+    The library encodes each piece of its split pattern by itself, so texts of known letters are split here, and only
+    pieces that the memo, which is bounded, doesn't hold go to the library, many in one call. Texts with other
+    characters, or with a special token, go to the library whole.
     """
 
-    def __init__(self, path: str, chunks: int = 300_000, pieces: int = 300_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.chunks, self.pieces = TwoGenerations(chunks), TwoGenerations(pieces)
+        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.memo = TwoGenerations(memo)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.specials):
+            return None
+        if text.isascii():
+            return ASCII_SPLIT.findall(text)
+        return None if UNKNOWN_TO_IT.search(text) else LATIN_SPLIT.findall(text)
+
     def _learn(self, new: list[str]) -> None:
-        cuts, plain, whole = [], [], []
-        for key in new:
-            first = key[:1] == FIRST
-            chunk = key[1:] if first else key
-            if any(s in chunk for s in self.specials) or not first and (not chunk or chunk[0].isspace()):
-                self.chunks.young[key] = None  # not independent of what stands around it
-            elif not chunk:
-                self.chunks.young[key] = b""
-            elif key.isascii():
-                plain.append(key)
-                cuts.append(ASCII_PIECES.findall(chunk if first else " " + chunk))
-            else:
-                whole.append((key, chunk if first else " " + chunk))
-        unknown = self.pieces.missing({p for ps in cuts for p in ps})
-        if unknown:
-            self.pieces.young.update(zip(unknown, self._encode(unknown)))
-        of = self.pieces.young
-        self.chunks.young.update((key, b"".join([of[p] for p in ps])) for key, ps in zip(plain, cuts))
-        if whole:
-            self.chunks.young.update(zip([k for k, _ in whole], self._encode([t for _, t in whole])))
+        """Pieces without white space, but for a space in front, go into one text with line feeds between them: a line
+        feed before a space or another character is a piece and a token of its own, and no such piece holds one."""
+        single = [p for p in new if not WHITE.search(p, p[0] == " ") and p != " "]
+        young = self.memo.young
+        for lo in range(0, len(single), 4096):
+            some = single[lo : lo + 4096]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            stops = np.flatnonzero(ids == self.feed).tolist()
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            young.update([(p, raw[size * (a + 1) : size * b]) for p, a, b in zip(some, [-1, *stops], [*stops, len(ids)], strict=True)])
+        rest = [p for p in new if p not in young]
+        if rest:
+            young.update(zip(rest, self._whole(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        for c in split:
-            c[0] = FIRST + c[0]
-        new = self.chunks.missing(set().union(*split)) if split else []
+        split = [self._pieces(t) for t in texts]
+        new = self.memo.missing(set().union(*(p for p in split if p is not None)))
         if new:
             self._learn(new)
-        get, out = self.chunks.young.__getitem__, []
-        for t, c in zip(texts, split):
-            try:
-                out.append(b"".join(map(get, c)))
-            except TypeError:
-                out.append(self._encode([t])[0])
-        self.chunks.settle(None)
-        self.pieces.settle(None)
+        get = self.memo.young.__getitem__
+        out = [b"".join(map(get, p)) if p is not None else b"" for p in split]
+        odd = [i for i, p in enumerate(split) if p is None]
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd]) if odd else ()):
+            out[i] = ids
+        self.memo.settle()
         return out
+
+
+@lru_cache(maxsize=2)
+def byte_encoder(path: str) -> ByteEncoder:
+    """The process's encoder for a file: a worker's memo outlives its tasks."""
+    return ByteEncoder(path)

@@ -91,8 +91,8 @@ class TwoGenerations:
                     out.append(k)
         return out
 
-    def settle(self, held) -> None:
-        """Between batches: a full younger generation becomes the older one. held: nothing is needed further."""
+    def settle(self) -> None:
+        """Between batches: a full younger generation becomes the older one."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
 

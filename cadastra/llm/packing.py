@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from cadastra.llm.bytebpe import ByteEncoder
+from cadastra.llm.bytebpe import byte_encoder
 from cadastra.llm.common import batches, bound_batches, narrow, texts
 
 WINDOW = 2048
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(it):
-        encoder = ByteEncoder(tokenizer)
+        encoder = byte_encoder(tokenizer)
         vocabulary = max(encoder.library.get_vocab_size(), end_id + 1)
         end = np.array([end_id], encoder.dtype).tobytes()
         first, shard = TaskContext.get().partitionId() << PART_BITS, 0

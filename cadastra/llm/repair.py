@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.bytebpe import ByteEncoder
+from cadastra.llm.bytebpe import byte_encoder
 from cadastra.llm.common import batches, bound_batches, narrow, shared_table, texts
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s5Q")
@@ -164,7 +164,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     dealt = narrow(docs, {"doc_id": "bigint", "text": "string"}).withColumn("_h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(it):
-        encoder = ByteEncoder(tokenizer)
+        encoder = byte_encoder(tokenizer)
         shard, block = TaskContext.get().partitionId(), 0
         base = max(encoder.library.get_vocab_size(), end_id + 1)
         end = np.array([end_id], encoder.dtype).tobytes()

@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from cadastra.llm.common import batches, bound_batches, narrow, texts
-from cadastra.llm.wordbpe import WordCounter
+from cadastra.llm.wordbpe import word_counter
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
@@ -21,7 +21,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     bound_batches(docs.sparkSession)
 
     def run(it):
-        counter = WordCounter(tokenizer)
+        counter = word_counter(tokenizer)
         for b in batches(it):
             text = b.column(1)
             n = counter.count(texts(text))

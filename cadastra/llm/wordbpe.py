@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -169,6 +170,12 @@ class WordCounter:
             self.chunks.young.update((c, s + sum([of[p] for p in ps])) for c, (s, ps) in zip(new, cut))
         get = self.chunks.young.__getitem__
         out = np.fromiter((sum(map(get, c)) for c in split), np.int64, len(split))
-        self.pieces.settle(None)
-        self.chunks.settle(None)
+        self.pieces.settle()
+        self.chunks.settle()
         return out
+
+
+@lru_cache(maxsize=2)
+def word_counter(path: str) -> WordCounter:
+    """The process's counter for a file: a worker's memos outlive its tasks."""
+    return WordCounter(path)

@@ -70,7 +70,7 @@ def test_any_text_is_encoded_as_the_library_does(word, byte, texts):
 
 
 def test_byte_ids_of_odd_texts(byte):
-    encoder = ByteEncoder(BYTE, 16, 16)
+    encoder = ByteEncoder(BYTE, 16)
     for _ in range(2):
         assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(ODD)] == [ids(byte, t) for t in ODD]
 

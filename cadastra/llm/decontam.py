@@ -204,11 +204,11 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, drop_s
     """
     spark = docs.sparkSession
     if _benchmark_bytes(benchmark) > BLOCK_BYTES // 2:
-        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-        found = find_leaks(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, size)
-        joined = numbered.join(found.select(F.col("doc_id").alias("_row"), "n_words", "n_hit", "spans"), "_row")
+        numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+        found = find_leaks(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, size)
+        joined = numbered.join(found.select(F.col("doc_id").alias("__row"), F.col("n_words").alias("__words"), F.col("n_hit").alias("__hit"), F.col("spans").alias("__spans")), "__row")
         cutter = F.udf(lambda t, s: t if t is None else drop_spans(t, s), "string")
-        out = joined.where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words"))).withColumn("text", cutter("text", "spans")).select(*docs.columns)
+        out = joined.where((F.col("__hit") == 0) | (F.col("__hit") < drop_share * F.col("__words"))).withColumn("text", cutter("text", "__spans")).select(*docs.columns)
     else:
         bound_batches(spark)
         tests = narrow(benchmark, {"item_id": "string", "text": "string"}).where("item_id is not null and text is not null")

@@ -97,16 +97,22 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     A line whose template recurs across documents is dropped, except, if keep_first, in the first document that has
     it. Other lines stay, in order. Null texts stay null and have no lines; an empty text has none; repeated rows
     get the same decision; an empty table gives an empty one; all other columns pass through unchanged (n_chars, if
-    present, follows the new text). Lines of fewer than SHORT tokens go only after the line that they always follow.
+    present, follows the new text; columns named as the three counts give way to them). Lines of fewer than SHORT tokens go only after the line that they always follow.
     """
     hits = recurring_lines(docs)
     gone = F.col("later") if keep_first else F.lit(True)
-    per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc")).agg(F.count("*").alias("_recurring"), F.collect_list(F.when(gone, F.col("line"))).alias("_gone"))
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    joined = keyed.join(per.hint("shuffle_hash"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_doc")), "left")
+    per = hits.groupBy(F.col("doc_id").alias("__id"), F.col("doc").alias("__doc")).agg(F.count("*").alias("__recurring"), F.collect_list(F.when(gone, F.col("line"))).alias("__gone"))
+    keyed = docs.withColumn("__hash", F.xxhash64(docs["text"]))
+    joined = keyed.join(per.hint("shuffle_hash"), F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__doc")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(lines)).cast("bigint")
-    text = F.when(F.size(F.coalesce("_gone", F.array().cast("array<int>"))) > 0, kept).otherwise(F.col("text"))
-    out = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_chars"], *([F.when(F.col("n_chars").isNotNull() | F.col("text").isNotNull(), F.coalesce(F.length(text), F.lit(0)).cast("bigint")).alias("n_chars")] if "n_chars" in docs.columns else []), n_lines.alias("n_lines"), F.coalesce("_recurring", F.lit(0)).alias("n_recurring"), F.size(F.coalesce("_gone", F.array().cast("array<int>"))).cast("bigint").alias("n_dropped"))
-    return out.select(*docs.columns, "n_lines", "n_recurring", "n_dropped")
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
+    n_dropped = F.size(F.coalesce("__gone", F.array().cast("array<int>")))
+    text = F.when(n_dropped > 0, kept).otherwise(F.col("text"))
+    counts = {
+        "n_lines": F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(lines)).cast("bigint"),
+        "n_recurring": F.coalesce("__recurring", F.lit(0)),
+        "n_dropped": n_dropped.cast("bigint"),
+    }
+    new = {"text": text, "n_chars": F.when(F.col("text").isNotNull(), F.length(text)).otherwise(0).cast("bigint")}
+    same = [c for c in docs.columns if c not in counts]
+    return joined.select(*(new[c].alias(c) if c in new else joined[c] for c in same), *(v.alias(k) for k, v in counts.items()))

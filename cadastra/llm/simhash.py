@@ -196,8 +196,8 @@ def first_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     """One document of each component of docs(doc_id, text, ...), that of the smallest doc_id (then text hash; nulls
     last), with all its columns; of rows with equal doc_id and text one stays."""
     _, component = _components(docs, size)
-    stay = component.select(F.col("first.i").alias("_id"), F.col("first.d").alias("_doc")).distinct()
-    keyed = docs.withColumn("_h", F.xxhash64(docs["text"])).withColumn("_i", docs["doc_id"].cast("bigint"))
-    kept = keyed.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_doc")), "left_semi")
-    one = Window.partitionBy("_i", "_h").orderBy("_h")
-    return kept.withColumn("_n", F.row_number().over(one)).where(F.col("_n") == 1).select(*docs.columns)
+    stay = component.select(F.col("first.i").alias("__id"), F.col("first.d").alias("__doc")).distinct()
+    keyed = docs.withColumns({"__hash": F.xxhash64(docs["text"]), "__own": docs["doc_id"].cast("bigint")})
+    kept = keyed.join(stay, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__doc")), "left_semi")
+    one = Window.partitionBy("__own", "__hash").orderBy("__hash")
+    return kept.withColumn("__n", F.row_number().over(one)).where(F.col("__n") == 1).select(*docs.columns)

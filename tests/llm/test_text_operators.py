@@ -173,6 +173,19 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id is None, r.text) for r in got) == [(False, PASSAGE), (False, PASSAGE), (True, ""), (True, "clean words of its own here")]
 
 
+def test_clashing_columns_stay(spark):
+    rows = [(1, PASSAGE, 5, 6, 7, 8), (2, PASSAGE, 5, 6, 7, 8), (3, "quite another text of words", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _h int, doc int, n_lines int, first int")
+    out = linededup.drop_recurring_lines(docs)
+    assert out.columns == ["doc_id", "text", "_h", "doc", "first", "n_lines", "n_recurring", "n_dropped"]
+    assert {tuple(r)[2:5] for r in out.collect()} == {(5, 6, 8)}
+    kept = simhash.first_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    items = spark.createDataFrame([(1, "something else")], "item_id bigint, text string")
+    assert sorted(map(tuple, decontam.remove_leaks(docs, items).collect())) == rows
+    assert langid.keep_known(docs.withColumn("lang", docs["text"]), 0.0).columns == [*docs.columns, "lang"]
+
+
 def test_lines_against_a_loop(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
     first = {}

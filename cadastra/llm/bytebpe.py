@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -17,8 +18,8 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: The file's split pattern for such texts: a space joins what follows it; the last of several white spaces does too.
 SPLIT = r" ?[{letters}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^\t-\r {letters}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 ASCII_SPLIT, LATIN_SPLIT = re.compile(SPLIT.format(letters="A-Za-z")), re.compile(SPLIT.format(letters=LATIN))
-UNKNOWN_TO_IT = re.compile(rf"[^\x00-\x7f{LATIN}]")
 WHITE = re.compile(r"\s")
+UNKNOWN_TO_IT = re.compile(rf"[^\x00-\x7f{LATIN}]")
 
 
 class ByteEncoder:
@@ -29,7 +30,7 @@ class ByteEncoder:
     characters, or with a special token, go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 700_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -64,9 +65,12 @@ class ByteEncoder:
             young.update(zip(rest, self._whole(rest)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        new = self.memo.missing(set().union(*(p for p in split if p is not None)))
-        if new:
+        split, new = [self._pieces(t) for t in texts], set()
+        known = self.memo.young.__contains__
+        for p in split:
+            if p is not None:
+                new.update(filterfalse(known, p))
+        if new and (new := self.memo.missing(new)):
             self._learn(new)
         get = self.memo.young.__getitem__
         out = [b"".join(map(get, p)) if p is not None else b"" for p in split]

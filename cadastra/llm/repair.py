@@ -23,31 +23,40 @@ from cadastra.llm.common import batches, bound_batches, narrow, shared_table, te
 
 MAGIC, HEAD = b"RPG1", struct.Struct("<4s5Q")
 #: A block is closed when it holds so many ids; a single longer document makes a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Pairs replaced in one round at most, least count of such a pair, rounds at most.
-PAIRS, LEAST, ROUNDS = 1024, 8, 12
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+PAIRS, LEAST, ROUNDS = 512, 8, 12
+#: Bits of the hashed count, whose table stays in a core's cache as a block does.
+SLOTS = 17
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def frequent_pairs(keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the most frequent keys, their number in that order); a hashed count picks, an exact one confirms."""
-    slot = ((keys * GOLDEN) >> np.uint64(44)).astype(np.int32)
-    rough = np.bincount(slot, minlength=1 << 20)
+    """(places of the most frequent keys, each one's number). A hashed count picks slots; one key of each slot is taken
+    and counted exactly, so two keys in a slot are never confused."""
+    bits = keys.dtype.itemsize * 8
+    slot = ((keys * keys.dtype.type(GOLDEN & ((1 << bits) - 1))) >> keys.dtype.type(bits - SLOTS)).astype(np.int32)
+    rough = np.bincount(slot, minlength=1 << SLOTS)
     often = np.flatnonzero(rough >= LEAST)
     if len(often) > limit:
         often = often[np.argpartition(rough[often], -limit)[-limit:]]
-    wanted = np.zeros(1 << 20, bool)
-    wanted[often] = True
-    at = np.flatnonzero(wanted[slot])
-    _, number, count = np.unique(keys[at], return_inverse=True, return_counts=True)
-    good = count >= LEAST
-    stay = good[number]
-    return at[stay], (np.cumsum(good) - 1)[number[stay]]
+    number = np.full(1 << SLOTS, -1, np.int32)
+    number[often] = np.arange(len(often))
+    number = number[slot]
+    at = np.flatnonzero(number >= 0)
+    number, own = number[at], keys[at]
+    one = np.zeros(len(often), keys.dtype)
+    one[number] = own
+    same = one[number] == own
+    same &= np.bincount(number[same], minlength=len(often))[number] >= LEAST
+    return at[same], number[same]
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
     """The payload of a block: ids of documents that lie end to end, starts their first places."""
-    sym = ids.astype(np.uint32)
+    narrow = base + PAIRS * ROUNDS <= 1 << 16
+    kind, key = (np.uint16, np.uint32) if narrow else (np.uint32, np.uint64)
+    sym = ids.astype(kind)
     last = np.zeros(len(sym), bool)
     ends = np.append(starts[1:], len(sym))
     last[ends[ends > starts] - 1] = True
@@ -56,24 +65,25 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
     for _ in range(ROUNDS):
         if len(sym) < 2:
             break
-        keys = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
-        at, number = frequent_pairs(np.where(last[:-1], np.uint64(2**64 - 1), keys), PAIRS)
-        ok = ~last[at]
-        at, number = at[ok], number[ok]
+        keys = (sym[:-1].astype(key) << key(16 if narrow else 32)) | sym[1:]
+        at, number = frequent_pairs(keys, PAIRS)
+        inside = ~last[at]  # no pair reaches over a document's end
+        at, number = at[inside], number[inside]
         if not len(at):
             break
         fresh = np.ones(len(at), bool)  # of places that overlap, every second one from the left
         fresh[1:] = at[1:] != at[:-1] + 1
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        pick = (np.arange(len(at)) - run) % 2 == 0
+        place = np.arange(len(at))
+        pick = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
         at, number = at[pick], number[pick]
-        used, number = np.unique(number, return_inverse=True)
-        example = np.zeros(len(used), np.int64)
+        used = np.bincount(number, minlength=PAIRS) > 0
+        number = (np.cumsum(used) - 1)[number]
+        example = np.zeros(int(used.sum()), np.int64)
         example[number] = at
-        rules.append(np.stack([sym[example], sym[example + 1]], 1))
-        sym[at] = (base + made + number).astype(np.uint32)
+        rules.append(np.stack([sym[example], sym[example + 1]], 1).astype(np.uint32))
+        sym[at] = (base + made + number).astype(kind)
         last[at] = last[at + 1]
-        made += len(used)
+        made += len(example)
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
         sym, last = sym[stay], last[stay]
@@ -81,7 +91,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
             break
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     length = lengths(table, base)
-    size = np.where(sym >= base, length[np.maximum(sym.astype(np.int64) - base, 0)] if made else 1, 1)
+    size = np.concatenate([np.ones(base, np.int64), length])[sym]
     place = np.concatenate([[0], np.cumsum(size)])
     first = np.searchsorted(place, np.append(starts, len(ids)), side="left")
     wide = "<u2" if base + made <= 1 << 16 else "<u4"
@@ -108,29 +118,25 @@ class Block:
         self.length = np.frombuffer(payload, "<u4", rules, at := at + 8 * rules)
         self.first = np.frombuffer(payload, "<u8", docs + 1, at := at + 4 * rules).astype(np.int64)
         self.sym = np.frombuffer(payload, "<u2" if self.base + rules <= 1 << 16 else "<u4", symbols, at + 8 * (docs + 1))
-        parts: list[np.ndarray] = []
-        one = lambda x: parts[x - self.base] if x >= self.base else np.array([x], np.uint32)
+        # Every symbol's expansion lies in one array: a terminal's is itself.
+        parts = [np.arange(self.base, dtype=np.uint32)]
+        one = lambda x: parts[x - self.base + 1] if x >= self.base else np.array([x], np.uint32)
         for a, b in self.rules.tolist():
             parts.append(np.concatenate([one(a), one(b)]))
-        self.flat = np.concatenate(parts) if parts else np.zeros(1, np.uint32)
-        self.where = np.cumsum(self.length, dtype=np.int64) - self.length
+        self.flat = np.concatenate(parts).astype("<u4")
+        self.size = np.concatenate([np.ones(self.base, np.int64), self.length])
+        self.where = np.cumsum(self.size) - self.size
 
     def expand(self, sym: np.ndarray) -> np.ndarray:
-        rule = sym >= self.base
-        k = np.where(rule, sym.astype(np.int64) - self.base, 0)
-        size = np.where(rule, self.length[k] if len(self.length) else 1, 1).astype(np.int64)
-        begin = np.cumsum(size) - size
-        if not len(self.length):
-            return sym.astype("<u4")
-        source = np.repeat(self.where[k] - begin, size) + np.arange(int(size.sum()))
-        return np.where(np.repeat(rule, size), self.flat[np.clip(source, 0, len(self.flat) - 1)], np.repeat(sym, size)).astype("<u4")
+        size = self.size[sym]
+        shift = self.where[sym] - (np.cumsum(size) - size)
+        return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
     def doc(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids of document i from start up to stop; only the symbols in between are expanded."""
         sym = self.sym[self.first[i] : self.first[i + 1]]
         if start or stop is not None:
-            rule = sym >= self.base
-            size = np.where(rule, self.length[np.where(rule, sym.astype(np.int64) - self.base, 0)] if len(self.length) else 1, 1)
+            size = self.size[sym]
             ends = np.cumsum(size, dtype=np.int64)
             lo = int(np.searchsorted(ends, start, side="right"))
             hi = len(sym) if stop is None else int(np.searchsorted(ends, stop, side="left")) + 1
@@ -144,8 +150,7 @@ class Block:
         for lo in range(0, n, 256):
             hi = min(n, lo + 256)
             sym = self.sym[self.first[lo] : self.first[hi]]
-            rule = sym >= self.base
-            size = np.where(rule, self.length[np.where(rule, sym.astype(np.int64) - self.base, 0)] if len(self.length) else 1, 1)
+            size = self.size[sym]
             place = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[self.first[lo : hi + 1] - self.first[lo]]
             ids = self.expand(sym)
             for a, b in zip(place[:-1].tolist(), place[1:].tolist()):

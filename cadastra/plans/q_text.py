@@ -93,7 +93,7 @@ def labels_and_names(spark, sf_dir):
     chain = F.concat((20 + F.col("p_size")).cast("string"), F.lit("+00.5"))
     crop = F.when(k % 2 == 0, F.concat(F.lit("seg_"), F.lpad(size, 4, "0"), F.lit("_w1"))).otherwise(F.lit("seg_x_1"))
     seg, win = text.crop_of(crop)
-    look = F.concat(F.lit("I"), F.translate((F.col("p_size") % 10).cast("string"), "05", "OS"))
+    look = F.concat(F.lit("I"), F.translate((F.col("p_size") % 10).cast("string"), "08", "OS"))
     pages = F.concat(F.lit("1-"), size, F.lit(", 90,92-93"))
     return p.select("p_partkey", text.square_feet(area).alias("sqft"), text.station(chain).alias("station"), text.range_label(k).alias("label"), F.coalesce(seg, F.lit(-1)).alias("seg"), F.coalesce(F.when(seg.isNotNull(), win), F.lit(-1)).alias("win"), text.lookalike_number(look).alias("look"), F.size(text.page_list(pages)).alias("n_pages"))
 

@@ -81,7 +81,7 @@ def scale_by_ranks(spark, sf_dir):
 
 @query()
 def pair_by_position(spark, sf_dir):
-    r = view(spark, sf_dir, "v_reads").where("event_id % 3 = 0")
+    r = view(spark, sf_dir, "v_reads")
     side = lambda even: F.array_sort(F.collect_list(F.when((F.col("event_id") % 2 == 0) == even, F.struct(F.col("v").alias("pos"), "event_id"))))
     g = r.groupBy("sheet").agg(side(True).alias("b"), side(False).alias("d"))
     return g.select("sheet", F.inline(matching.paired_by_position(F.col("b"), F.col("d"))))
@@ -178,8 +178,14 @@ def area_ratio_spread(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT curve % 50 AS k, cos(radians(x*17+curve))*(50 + curve % 50) + 10 AS x, sin(radians(x*17+curve))*(50 + curve % 50) - 5 AS y FROM (SELECT curve, unnest(range(0,6)) AS x FROM v_curves WHERE curve < 50)) SELECT k, 10.0 AS cx, -5.0 AS cy, CAST(50 + k AS DOUBLE) AS r, count(*) AS n FROM p GROUP BY k""".replace("10.0 AS cx, -5.0 AS cy", "10.0e0 AS cx, -5.0e0 AS cy"))
-def circle_fits(spark, sf_dir):
-    v = view(spark, sf_dir, "v_curves").where("curve < 50").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5))))
+def circle_fits(spark, sf_dir, whole=False):
+    v = view(spark, sf_dir, "v_curves").where("true" if whole else "curve < 50").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5))))
     a, r = F.radians(F.col("i") * 17 + F.col("curve")), 50 + F.col("curve") % 50
     p = v.select((F.col("curve") % 50).alias("k"), (F.cos(a) * r + 10).alias("x"), (F.sin(a) * r - 5).alias("y"))
     return fit.circle_sums(p, ["k"]).select("k", *(F.round(c, 4).alias(c) for c in ("cx", "cy", "r")), "n")
+
+
+@query()
+def circle_fits_whole(spark, sf_dir):
+    """The same fits over the curves of every part, where the SQL of circle_fits stops at 50."""
+    return circle_fits(spark, sf_dir, whole=True)

@@ -196,7 +196,11 @@ def first_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     """One document of each component of docs(doc_id, text, ...), that of the smallest doc_id (then text hash; nulls
     last), with all its columns; of rows with equal doc_id and text one stays."""
     _, component = _components(docs, size)
-    stay = component.select(F.col("first.i").alias("__id"), F.col("first.d").alias("__doc")).distinct()
+    return only_rows(docs, component.select(F.col("first.i").alias("__id"), F.col("first.d").alias("__doc")).distinct())
+
+
+def only_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """Rows of docs named by stay(__id, __doc), doc_id and text hash, with all their columns; of equal ones one stays."""
     keyed = docs.withColumns({"__hash": F.xxhash64(docs["text"]), "__own": docs["doc_id"].cast("bigint")})
     kept = keyed.join(stay, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__doc")), "left_semi")
     one = Window.partitionBy("__own", "__hash").orderBy("__hash")

@@ -194,3 +194,24 @@ def test_repeated_ids_are_packed_as_documents_of_their_own(spark):
     got = pack(spark.createDataFrame([(7, "a b c"), (7, "a b c"), (None, "z")], "doc_id bigint, text string"), BYTE).collect()
     assert sum(p.length for p in got) == 4 + 4 + 2
     assert sorted({(p.sequence_id, p.offset + k) for p in got for k in range(p.length)}) == sorted((p.sequence_id, p.offset + k) for p in got for k in range(p.length))
+
+
+@pytest.mark.parametrize("dense", [0.06, 2.0])
+def test_neighbours_are_the_best_by_all_terms(monkeypatch, dense):
+    from cadastra.llm import packing
+
+    monkeypatch.setattr(packing, "DENSE", dense)
+    r = np.random.default_rng(1)
+    docs = [np.minimum(r.zipf(1.3, r.integers(30, 300)), 999) for _ in range(400)]
+    index = packing.Bm25(docs, 1000)
+    used = r.random(400) < 0.3
+    for seed in range(40):
+        mine = set(docs[seed].tolist())
+        score = np.zeros(400)
+        for d in range(400):
+            at = slice(index.own[d], index.own[d + 1])
+            score[d] = sum(float(w) for t, w in zip(index.term[at].tolist(), index.weight[at]) if t in mine)
+        score[used] = 0
+        got = index.neighbours(seed, used)
+        assert len(got) == packing.NEIGHBOURS and not used[got].any()
+        np.testing.assert_allclose(score[got], np.sort(score)[::-1][: packing.NEIGHBOURS], rtol=1e-4)

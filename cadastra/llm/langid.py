@@ -295,9 +295,12 @@ def identify(docs: DataFrame, docs_limit: int = DOCS) -> DataFrame:
 
 def keep_known(docs: DataFrame, least_score: float, docs_limit: int = DOCS) -> DataFrame:
     """Rows of docs(doc_id, text, lang, ...), with all their columns, whose predicted language isn't `und` and has a
-    score of least_score or more."""
+    score of least_score or more. Where no row has a language to learn from, those with a letter stay."""
     bound_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(train(docs, docs_limit))
+    model = train(docs, docs_limit)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(it):

@@ -131,12 +131,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1)
 
     def run(it):
         encoder = byte_encoder(tokenizer)
-        vocabulary = max(encoder.library.get_vocab_size(), end_id + 1)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        vocabulary = max(encoder.size, end_id + 1)
+        end = np.array([end_id], encoder.dtype)
         first, shard = TaskContext.get().partitionId() << PART_BITS, 0
 
         def close(ids, parts):
-            docs = [np.frombuffer(p, encoder.dtype) for p in parts]
+            docs = parts
             pieces = np.array(plan(docs, vocabulary, window), np.int64).reshape(-1, 5)
             crc, held, wide = [], None, b""
             for doc, start, n, _, _ in pieces.tolist():
@@ -151,8 +151,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1)
         for b in batches(it):
             for name, p in zip(b.column(0).to_pylist(), encoder.encode(texts(b.column(1)))):
                 ids.append(name)
-                parts.append(p + end)
-                size += len(p) // encoder.dtype.itemsize + 1
+                parts.append(np.append(p, end))
+                size += len(p) + 1
                 if size >= SHARD_IDS or len(ids) >= SHARD_DOCS:
                     yield close(ids, parts)
                     ids, parts, size, shard = [], [], 0, shard + 1

@@ -1,5 +1,6 @@
 """Token counts, id shards and packing against the tokenizers library itself."""
 
+import math
 import zlib
 
 import numpy as np
@@ -10,8 +11,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cadastra.llm.bytebpe import ByteEncoder
-from cadastra.llm.packing import pack
-from cadastra.llm.repair import Block, compress, read_shards, token_ids, write_shards
+from cadastra.llm.packing import K1, NEIGHBOURS, B, Bm25, pack, plan
+from cadastra.llm.repair import FLAT, LEAST, Block, compress, read_shards, token_ids, write_shards
 from cadastra.llm.tokens import count_tokens
 from cadastra.llm.wordbpe import LONG, WordCounter
 
@@ -19,6 +20,7 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 ODD = [
     "", " ", "  ", "\n", "a", " a", "a ", "Hello  World", "tab\there \n\n x", "it's we'll I'VE", "naïve Σίσυφος ΣΑΣ", "日本語 テスト",
     "İstanbul ß ﬁ ²½", "é ́x", "x<|endoftext|>y <|startoftext|>", "<|endoftext|>", "<|", "aaaaaaaaaa" * 9, "123 4567.89", "\x1c a\x1cb  z 　",
+    "2×3 ÷ ɐ ɏ x¬y", "'s 'S ''s x'ved 'llama 'l 'r 're", "\n's \n 's  't", "it'sé don'té", "'", "a'", "'v", "x" * 200, "x'll", "x'l", "x're're",
     "emoji 👍🏽 x", "\r\n\r\nq", " \n y", "a \n  b", "!!!???", "don't<|endoftext|>", "​ zero", "café CAFÉ", "İ İ",
 ]
 SCHEMA = "extra string, doc_id bigint, text string, n_chars bigint, text2 string"
@@ -66,13 +68,28 @@ def test_any_text_is_encoded_as_the_library_does(word, byte, texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     assert WordCounter(WORD).count(texts).tolist() == [len(ids(word, t)) for t in texts]
     got = ByteEncoder(BYTE).encode(texts)
-    assert [np.frombuffer(b, "<u2").tolist() for b in got] == [ids(byte, t) for t in texts]
+    assert [b.tolist() for b in got] == [ids(byte, t) for t in texts]
 
 
 def test_byte_ids_of_odd_texts(byte):
-    encoder = ByteEncoder(BYTE, 16)
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(ODD)] == [ids(byte, t) for t in ODD]
+    encoder = ByteEncoder(BYTE)
+    assert encoder.merger is not None
+    want = [ids(byte, t) for t in ODD]
+    assert [b.tolist() for b in encoder.encode(ODD)] == want
+    encoder.merger = None  # as for a file that does more than merge bytes
+    assert [b.tolist() for b in encoder.encode(ODD)] == want
+
+
+def test_every_code_point_is_split_as_the_library_does(byte):
+    encoder = ByteEncoder(BYTE)
+    for lo in range(0, 0x110000, 1 << 14):
+        texts = [f"a{c}1{c} {c}.{c}  {c}{c}'s{c}" for c in map(chr, range(lo, lo + (1 << 14))) if not "\ud800" <= c <= "\udfff"]
+        want = byte.encode_batch_fast(texts, add_special_tokens=False)
+        assert all(b.tolist() == w.ids for b, w in zip(encoder.encode(texts), want))
+
+
+def test_files_that_do_more_than_merge_go_to_the_library():
+    assert ByteEncoder(WORD).merger is None
 
 
 def test_count_tokens_rows(spark, word):
@@ -103,6 +120,60 @@ def test_grammar_round_trip(docs, times):
         assert block.doc(i, a, b).tolist() == d[a:b]
 
 
+def test_no_pair_that_pays_is_left():
+    rng = np.random.default_rng(7)
+    words = [rng.integers(0, 50, rng.integers(2, 9)) for _ in range(40)]
+    docs = [np.concatenate([words[i] for i in rng.integers(0, 40, 60)]) for _ in range(12)] + [np.zeros(900, np.int64)]
+    flat, size = np.concatenate(docs).astype(np.uint16), np.array(list(map(len, docs)))
+    block = Block(compress(flat, np.cumsum(size) - size, 50))
+    assert [x.tolist() for x in block.docs()] == [d.tolist() for d in docs]
+    left = {}
+    for i in range(len(docs)):  # a plain count of what the symbols still hold, every second place of aaa
+        sym, last = block.sym.read(int(block.first[i]), int(block.first[i + 1])).tolist(), None
+        for at, pair in enumerate(zip(sym, sym[1:])):
+            if last != (at - 1, pair):
+                left[pair] = left.get(pair, 0) + 1
+                last = (at, pair)
+    assert max(left.values(), default=0) < LEAST
+    assert naive_repair([d.tolist() for d in docs]) >= 0.8 * (len(block.sym.low) + 2 * len(block.rules))
+
+
+def naive_repair(docs):
+    """Symbols and rules that Re-Pair leaves when it takes one most frequent pair at a time."""
+    rules, fresh = 0, 50
+    while True:
+        count = {}
+        for d in docs:
+            i = 0
+            for i in range(len(d) - 1):
+                count.setdefault((d[i], d[i + 1]), []).append(i)
+        pair = max(sorted(count), key=lambda p: len(count[p]), default=None)
+        if pair is None or len(count[pair]) < LEAST:
+            return sum(map(len, docs)) + 2 * rules
+        used, out = 0, []
+        for d in docs:
+            new, i = [], 0
+            while i < len(d):
+                if tuple(d[i : i + 2]) == pair:
+                    new.append(fresh)
+                    used, i = used + 1, i + 2
+                else:
+                    new.append(d[i])
+                    i += 1
+            out.append(new)
+        if used < LEAST:
+            return sum(map(len, docs)) + 2 * rules
+        docs, rules, fresh = out, rules + 1, fresh + 1
+
+
+def test_long_expansions_are_unfolded():
+    flat = np.tile(np.arange(3, dtype=np.uint16), 5000)
+    block = Block(compress(flat, np.array([0]), 3))
+    assert block.length.max() > FLAT
+    assert block.doc(0).tolist() == flat.tolist()
+    assert block.doc(0, 7001, 7020).tolist() == flat[7001:7020].tolist()
+
+
 def test_grammar_compresses_repeats():
     flat = np.tile(np.arange(64, dtype=np.uint16), 400)
     raw = compress(flat, np.array([0]), 64)
@@ -215,3 +286,59 @@ def test_neighbours_are_the_best_by_all_terms(monkeypatch, dense):
         got = index.neighbours(seed, used)
         assert len(got) == packing.NEIGHBOURS and not used[got].any()
         np.testing.assert_allclose(score[got], np.sort(score)[::-1][: packing.NEIGHBOURS], rtol=1e-4)
+
+
+def naive_scores(docs, seed):
+    """BM25 of every document for the distinct terms of one, from the formula."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    out = [0.0] * n
+    for term in set(docs[seed]):
+        df = sum(term in d for d in docs)
+        idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+        for i, d in enumerate(docs):
+            tf = d.count(term)
+            out[i] += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean))
+    return out
+
+
+def naive_plan(docs, window):
+    """Order of documents, step by step as packing states it: a seed's unused neighbours, best first, fill its window."""
+    order, used, room, seed, queue = [], set(), window, None, []
+    while len(used) < len(docs):
+        queue = [i for i in queue if i not in used]
+        if not queue and seed is not None and room < window:
+            scores = naive_scores(docs, seed)
+            queue = sorted((i for i in range(len(docs)) if i not in used and scores[i] > 0), key=lambda i: (-scores[i], i))[:NEIGHBOURS]
+        if queue:
+            doc = queue.pop(0)
+        else:
+            doc = seed = min(set(range(len(docs))) - used)
+        if room == window:
+            seed = doc
+        order.append(doc)
+        used.add(doc)
+        left = len(docs[doc])
+        if left < room:
+            room -= left
+        else:
+            left -= room
+            room = window - left % window
+            seed, queue = doc, []
+    return order
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_follows_a_naive_bm25(seed):
+    rng = np.random.default_rng(seed)
+    docs = [(rng.integers(0, 12, rng.integers(3, 40)) + 25 * (i % 4) + rng.integers(0, 20)).tolist() for i in range(60)]
+    index = Bm25([np.array(d, np.uint16) for d in docs], 200)
+    used = rng.random(60) < 0.3
+    for i in range(60):
+        want, got = naive_scores(docs, i), index.neighbours(i, used)
+        free = [j for j in range(60) if not used[j] and want[j] > 0]
+        assert len(got) == min(NEIGHBOURS, len(free)) and set(got) <= set(free)
+        scores = [want[j] for j in got]
+        assert scores == pytest.approx(sorted(scores, reverse=True), abs=1e-4)
+        assert all(want[j] <= scores[-1] + 1e-4 for j in set(free) - set(got))
+    order = list(dict.fromkeys(p[0] for p in sorted(plan([np.array(d, np.uint16) for d in docs], 200, 64), key=lambda p: p[3:])))
+    assert order == naive_plan(docs, 64)

@@ -1,10 +1,11 @@
 """Token ids in shards compressed by a Re-Pair grammar (operator 6).
 
-A block's payload, little-endian: magic "RPG1"; header of five unsigned 64-bit numbers (documents, tokens, symbols,
-rules, base); the rules as pairs of unsigned 32-bit symbols, rule k being symbol base + k; the rules' expansion
-lengths (unsigned 32-bit); for each document the number of its first symbol (unsigned 64-bit, one more at the end);
-the symbols, unsigned 16-bit where base + rules fits, else 32-bit. A document's symbols are its own, so each is
-decoded without the others; expansion lengths lead to any position inside it.
+A block's payload, little-endian: magic "RPG2"; header of six unsigned 64-bit numbers (documents, tokens, symbols,
+rules, base, width); the rules' two symbols, all left ones, then all right ones, rule k being symbol base + k; the
+rules' expansion lengths (unsigned 32-bit); for each document the number of its first symbol (unsigned 64-bit, one
+more at the end); the symbols. Numbers of `width` bits are stored as their low 16 bits (unsigned 16-bit), then one
+plane of bits for each higher one. A document's symbols are its own, so each is decoded without the others; expansion
+lengths lead to any position inside it.
 """
 
 from __future__ import annotations
@@ -21,81 +22,206 @@ from pyspark.sql import functions as F
 from cadastra.llm.bytebpe import byte_encoder
 from cadastra.llm.common import batches, bound_batches, narrow, shared_table, texts
 
-MAGIC, HEAD = b"RPG1", struct.Struct("<4s5Q")
+MAGIC, HEAD = b"RPG2", struct.Struct("<4s6Q")
 #: A block is closed when it holds so many ids; a single longer document makes a block of its own.
-BLOCK = 1 << 18
-#: Pairs replaced in one round at most, least count of such a pair, rounds at most.
-PAIRS, LEAST, ROUNDS = 512, 8, 12
-#: Bits of the hashed count, whose table stays in a core's cache as a block does.
-SLOTS = 17
-GOLDEN = 0x9E3779B97F4A7C15
-
-
-def frequent_pairs(keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the most frequent keys, each one's number). A hashed count picks slots; one key of each slot is taken
-    and counted exactly, so two keys in a slot are never confused."""
-    bits = keys.dtype.itemsize * 8
-    slot = ((keys * keys.dtype.type(GOLDEN & ((1 << bits) - 1))) >> keys.dtype.type(bits - SLOTS)).astype(np.int32)
-    rough = np.bincount(slot, minlength=1 << SLOTS)
-    often = np.flatnonzero(rough >= LEAST)
-    if len(often) > limit:
-        often = often[np.argpartition(rough[often], -limit)[-limit:]]
-    number = np.full(1 << SLOTS, -1, np.int32)
-    number[often] = np.arange(len(often))
-    number = number[slot]
-    at = np.flatnonzero(number >= 0)
-    number, own = number[at], keys[at]
-    one = np.zeros(len(often), keys.dtype)
-    one[number] = own
-    same = one[number] == own
-    same &= np.bincount(number[same], minlength=len(often))[number] >= LEAST
-    return at[same], number[same]
+BLOCK = 1 << 20
+#: Uses from which a rule pays: it takes two symbols of some 17 bits and a length of 32, a use saves one symbol.
+LEAST = 4
+#: Bits of the hashed count that leaves out pairs which can't be frequent, before the exact one.
+SLOTS = 20
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: It goes first where so many places are open; rare pairs that have a rule are then left until fewer are.
+MANY = 1 << 15
+#: Rules of longer expansions are unfolded step by step; shorter ones lie ready.
+FLAT = 256
+
+
+def _second_ones(joined: np.ndarray) -> np.ndarray:
+    """Of runs in joined (ascending numbers, each a repetition of the one before it) the first, third, ... one."""
+    fresh = np.ones(len(joined), bool)
+    fresh[1:] = joined[1:] != joined[:-1] + 1
+    place = np.arange(len(joined))
+    return joined[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0] if len(joined) else joined
+
+
+def _possible(keys: np.ndarray) -> np.ndarray:
+    """Keys that may occur LEAST times: a slot's count is at least that of each of its keys."""
+    slot = ((keys * GOLDEN) >> np.uint64(64 - SLOTS)).astype(np.int32)
+    return (np.bincount(slot, minlength=1 << SLOTS) >= LEAST)[slot]
+
+
+class Grammar:
+    """Re-Pair on documents that lie end to end, on linked places, so that a step costs what it changes.
+
+    Each step counts the pairs at all open places exactly, makes a rule of every pair that has LEAST uses left after
+    more frequent neighbours took theirs, and opens the places that changed. A pair below LEAST is closed, since its
+    places only become fewer; when no place is open, one more count over all places confirms that none was missed.
+    """
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, base: int):
+        n = len(ids)
+        self.end = n
+        self.sym = np.append(ids.astype(np.uint32), np.uint32(0))
+        self.after, self.before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        ends = np.append(starts[1:], n)
+        full = ends > starts
+        self.after[ends[full] - 1] = n
+        self.after[n] = n
+        self.before[starts[full]] = n
+        self.alive = np.ones(n + 1, bool)
+        self.alive[n] = False
+        self.base, self.rules = base, []
+        self.keys, self.symbols = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+
+    def run(self) -> None:
+        at, made = self._first(), -1
+        while made < len(self.rules):
+            made = len(self.rules)
+            while len(at):
+                at = self._step(at)
+            at = np.flatnonzero(self.alive[:-1] & (self.after[:-1] < self.end))
+
+    def _pairs(self, at: np.ndarray) -> np.ndarray:
+        return (self.sym.take(at).astype(np.uint64) << np.uint64(32)) | self.sym.take(self.after.take(at))
+
+    def _rule_of(self, keys: np.ndarray) -> np.ndarray:
+        """The symbol of each pair that has a rule, else 0."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.uint32)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.symbols[place], 0)
+
+    def _first(self) -> np.ndarray:
+        """The step over all places at first, which still lie side by side; returns the open places."""
+        n = self.end
+        if n < 2:
+            return np.zeros(0, np.int64)
+        sym = self.sym[:-1]
+        if self.base <= 1 << 16:
+            keys = (sym[:-1] << np.uint32(16)) | sym[1:]
+        else:
+            keys = (sym[:-1].astype(np.uint64) << np.uint64(32)) | sym[1:]
+        coded = pa.array(keys).dictionary_encode()
+        code, pair = coded.indices.to_numpy(), coded.dictionary.to_numpy().astype(np.uint64)
+        if self.base <= 1 << 16:
+            pair = ((pair >> np.uint64(16)) << np.uint64(32)) | (pair & np.uint64(0xFFFF))
+        over = np.flatnonzero(self.after[: n - 1] == n)  # these pairs would reach over the end of a document
+        joined = np.flatnonzero(code[1:] == code[:-1]) + 1
+        shut = np.union1d(over, _second_ones(joined))
+        rank, known = self._ranks(code, pair, shut, many=True)
+        own = rank.take(code)
+        held = own.copy()
+        own[shut] = 0
+        pick = np.ones(n - 1, bool)
+        pick[1:] &= own[1:] > own[:-1]
+        pick[:-1] &= own[:-1] > own[1:]
+        pick &= own > 0
+        held[over] = 0
+        at = np.flatnonzero(held)
+        return self._rewrite(at, code.take(at), pair, known, pick.take(at))
+
+    def _ranks(self, code: np.ndarray, pair: np.ndarray, shut: np.ndarray, many: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair its rank (more frequent pairs are greater, ties by the pair; 0: not frequent, without a rule)
+        and its rule's symbol (0: none)."""
+        count = np.bincount(code, minlength=len(pair)) - np.bincount(code[shut], minlength=len(pair))
+        often = np.flatnonzero(count >= LEAST)
+        known = np.zeros(len(pair), np.uint32)
+        if many:
+            known[often] = self._rule_of(pair[often])
+        else:
+            known = self._rule_of(pair)
+            often = np.flatnonzero((count >= LEAST) | (known > 0))
+        rank = np.zeros(len(pair), np.int32)
+        rank[often[np.lexsort((pair[often], count[often]))]] = np.arange(1, len(often) + 1, dtype=np.int32)
+        return rank, known
+
+    def _step(self, at: np.ndarray) -> np.ndarray:
+        keys, many = self._pairs(at), len(at) > MANY
+        if many:
+            ok = np.flatnonzero(_possible(keys))
+            at, keys = at.take(ok), keys.take(ok)
+        coded = pa.array(keys).dictionary_encode()
+        code, pair = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        joined = np.flatnonzero(code[1:] == code[:-1]) + 1
+        shut = _second_ones(joined[self.before[at[joined]] == at[joined - 1]])
+        rank, known = self._ranks(code, pair, shut, many)
+        own = rank.take(code)
+        open_ = np.flatnonzero(own)
+        own[shut] = 0
+        at, code, own = at.take(open_), code.take(open_), own.take(open_)
+        weight = np.zeros(self.end + 1, np.int32)
+        weight[at] = own
+        pick = (own > weight.take(self.before.take(at))) & (own > weight.take(self.after.take(at)))
+        return self._rewrite(at, code, pair, known, pick)
+
+    def _rewrite(self, at, code, pair, known, pick) -> np.ndarray:
+        """Makes the rules of the pairs picked at LEAST places, if they have none, and puts them in."""
+        uses = np.bincount(code[pick], minlength=len(pair))
+        known = np.where(uses > 0, known, 0)
+        fresh = np.flatnonzero((uses >= LEAST) & (known == 0))
+        known[fresh] = self.base + len(self.rules) + np.arange(len(fresh), dtype=np.uint32)
+        self.rules += pair[fresh].tolist()
+        if len(fresh):
+            keys, symbols = np.concatenate([self.keys, pair[fresh]]), np.concatenate([self.symbols, known[fresh]])
+            order = np.argsort(keys)
+            self.keys, self.symbols = keys[order], symbols[order]
+        symbol = known.take(code)
+        pick = pick & (symbol > 0)
+        return self._replace(at[pick], symbol[pick], at[~pick])
+
+    def _replace(self, place: np.ndarray, symbol: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Puts symbols in place of the pairs there; returns the open places after that."""
+        gone = self.after.take(place)
+        follow = self.after.take(gone)
+        self.sym[place] = symbol
+        self.after[place] = follow
+        self.before[follow] = place
+        self.alive[gone] = False
+        open_ = np.zeros(self.end + 1, bool)
+        open_[left] = True
+        open_[place] = True
+        open_[self.before.take(place)] = True
+        open_ &= self.alive
+        at = np.flatnonzero(open_)
+        return at[self.after.take(at) < self.end]
+
+
+def packed(numbers: np.ndarray, width: int) -> bytes:
+    planes = [np.packbits((numbers >> b & 1).astype(bool)).tobytes() for b in range(16, width)]
+    return b"".join([(numbers & 0xFFFF).astype("<u2").tobytes(), *planes])
+
+
+class Packed:
+    """Numbers packed in a buffer, read by ranges."""
+
+    def __init__(self, raw: bytes, at: int, count: int, width: int):
+        self.low = np.frombuffer(raw, "<u2", count, at)
+        plane = -(-count // 8)
+        self.planes = [np.frombuffer(raw, np.uint8, plane, at + 2 * count + plane * i) for i in range(max(0, width - 16))]
+        self.stop = at + 2 * count + plane * len(self.planes)
+
+    def read(self, lo: int, hi: int) -> np.ndarray:
+        out = self.low[lo:hi].astype(np.uint32)
+        for i, plane in enumerate(self.planes):
+            bits = np.unpackbits(plane[lo // 8 : -(-hi // 8)])[lo % 8 : lo % 8 + hi - lo]
+            out |= bits.astype(np.uint32) << np.uint32(16 + i)
+        return out
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
     """The payload of a block: ids of documents that lie end to end, starts their first places."""
-    narrow = base + PAIRS * ROUNDS <= 1 << 16
-    kind, key = (np.uint16, np.uint32) if narrow else (np.uint32, np.uint64)
-    sym = ids.astype(kind)
-    last = np.zeros(len(sym), bool)
-    ends = np.append(starts[1:], len(sym))
-    last[ends[ends > starts] - 1] = True
-    rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(ROUNDS):
-        if len(sym) < 2:
-            break
-        keys = (sym[:-1].astype(key) << key(16 if narrow else 32)) | sym[1:]
-        at, number = frequent_pairs(keys, PAIRS)
-        inside = ~last[at]  # no pair reaches over a document's end
-        at, number = at[inside], number[inside]
-        if not len(at):
-            break
-        fresh = np.ones(len(at), bool)  # of places that overlap, every second one from the left
-        fresh[1:] = at[1:] != at[:-1] + 1
-        place = np.arange(len(at))
-        pick = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
-        at, number = at[pick], number[pick]
-        used = np.bincount(number, minlength=PAIRS) > 0
-        number = (np.cumsum(used) - 1)[number]
-        example = np.zeros(int(used.sum()), np.int64)
-        example[number] = at
-        rules.append(np.stack([sym[example], sym[example + 1]], 1).astype(np.uint32))
-        sym[at] = (base + made + number).astype(kind)
-        last[at] = last[at + 1]
-        made += len(example)
-        stay = np.ones(len(sym), bool)
-        stay[at + 1] = False
-        sym, last = sym[stay], last[stay]
-        if len(at) < len(sym) // 200:
-            break
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    grammar = Grammar(ids, starts, base)
+    grammar.run()
+    table = np.array(grammar.rules, np.uint64)
+    table = np.stack([table >> np.uint64(32), table & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
     length = lengths(table, base)
-    size = np.concatenate([np.ones(base, np.int64), length])[sym]
-    place = np.concatenate([[0], np.cumsum(size)])
+    place = np.flatnonzero(grammar.alive)
+    sym = grammar.sym[place]
     first = np.searchsorted(place, np.append(starts, len(ids)), side="left")
-    wide = "<u2" if base + made <= 1 << 16 else "<u4"
-    return b"".join([HEAD.pack(MAGIC, len(starts), len(ids), len(sym), made, base), table.astype("<u4").tobytes(), length.astype("<u4").tobytes(), first.astype("<u8").tobytes(), sym.astype(wide).tobytes()])
+    width = max(16, (base + len(table) - 1).bit_length())
+    head = HEAD.pack(MAGIC, len(starts), len(ids), len(sym), len(table), base, width)
+    rules = packed(table[:, 0], width) + packed(table[:, 1], width)
+    return b"".join([head, rules, length.astype("<u4").tobytes(), first.astype("<u8").tobytes(), packed(sym, width)])
 
 
 def lengths(table: np.ndarray, base: int) -> np.ndarray:
@@ -110,34 +236,46 @@ class Block:
     """A payload, opened for random access."""
 
     def __init__(self, payload: bytes):
-        magic, docs, self.tokens, symbols, rules, self.base = HEAD.unpack_from(payload)
+        magic, docs, self.tokens, symbols, rules, self.base, width = HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a block of this format")
-        at = HEAD.size
-        self.rules = np.frombuffer(payload, "<u4", 2 * rules, at).reshape(-1, 2)
-        self.length = np.frombuffer(payload, "<u4", rules, at := at + 8 * rules)
-        self.first = np.frombuffer(payload, "<u8", docs + 1, at := at + 4 * rules).astype(np.int64)
-        self.sym = np.frombuffer(payload, "<u2" if self.base + rules <= 1 << 16 else "<u4", symbols, at + 8 * (docs + 1))
-        # Every symbol's expansion lies in one array: a terminal's is itself.
-        parts = [np.arange(self.base, dtype=np.uint32)]
-        one = lambda x: parts[x - self.base + 1] if x >= self.base else np.array([x], np.uint32)
-        for a, b in self.rules.tolist():
-            parts.append(np.concatenate([one(a), one(b)]))
-        self.flat = np.concatenate(parts).astype("<u4")
+        left = Packed(payload, HEAD.size, rules, width)
+        right = Packed(payload, left.stop, rules, width)
+        self.rules = np.stack([left.read(0, rules), right.read(0, rules)], 1)
+        self.length = np.frombuffer(payload, "<u4", rules, right.stop).astype(np.int64)
+        self.first = np.frombuffer(payload, "<u8", docs + 1, right.stop + 4 * rules).astype(np.int64)
+        self.sym = Packed(payload, right.stop + 4 * rules + 8 * (docs + 1), symbols, width)
+        # Expansions of terminals and of short rules lie in one array.
         self.size = np.concatenate([np.ones(self.base, np.int64), self.length])
-        self.where = np.cumsum(self.size) - self.size
+        ready = np.where(self.size <= FLAT, self.size, 0)
+        self.where = np.cumsum(ready) - ready
+        short = self.rules[self.length <= FLAT].ravel()
+        while (open_ := short >= self.base).any():
+            short = self._unfolded(short, open_)
+        self.flat = np.concatenate([np.arange(self.base, dtype=np.uint32), short]).astype("<u4")
+
+    def _unfolded(self, sym: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Symbols with those marked replaced by the two of their rule."""
+        size = 1 + which
+        at = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint32)
+        out[at[~which]] = sym[~which]
+        pair = self.rules[sym[which] - self.base]
+        out[at[which]], out[at[which] + 1] = pair[:, 0], pair[:, 1]
+        return out
 
     def expand(self, sym: np.ndarray) -> np.ndarray:
+        while (long := self.size[sym] > FLAT).any():
+            sym = self._unfolded(sym, long)
         size = self.size[sym]
         shift = self.where[sym] - (np.cumsum(size) - size)
         return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
     def doc(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids of document i from start up to stop; only the symbols in between are expanded."""
-        sym = self.sym[self.first[i] : self.first[i + 1]]
+        sym = self.sym.read(int(self.first[i]), int(self.first[i + 1]))
         if start or stop is not None:
-            size = self.size[sym]
-            ends = np.cumsum(size, dtype=np.int64)
+            ends = np.cumsum(self.size[sym])
             lo = int(np.searchsorted(ends, start, side="right"))
             hi = len(sym) if stop is None else int(np.searchsorted(ends, stop, side="left")) + 1
             skipped = int(ends[lo - 1]) if lo else 0
@@ -149,9 +287,8 @@ class Block:
         n = len(self.first) - 1
         for lo in range(0, n, 256):
             hi = min(n, lo + 256)
-            sym = self.sym[self.first[lo] : self.first[hi]]
-            size = self.size[sym]
-            place = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[self.first[lo : hi + 1] - self.first[lo]]
+            sym = self.sym.read(int(self.first[lo]), int(self.first[hi]))
+            place = np.concatenate([[0], np.cumsum(self.size[sym])])[self.first[lo : hi + 1] - self.first[lo]]
             ids = self.expand(sym)
             for a, b in zip(place[:-1].tolist(), place[1:].tolist()):
                 yield ids[a:b]
@@ -160,24 +297,25 @@ class Block:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Rows (shard, block, n_docs, n_tokens, doc_ids, payload), written as Parquet in the shared folder and read back.
 
-    Documents are dealt by ranges of (doc_id, text hash), so that shard after shard, block after block, they stand in
-    ascending doc_id order (nulls first, repeated ids together); a shard is a range, compressed in blocks that hold
-    BLOCK ids or one longer document.
+    Documents are dealt by ranges of (doc_id, text hash, place in the input), so that shard after shard, block after
+    block, they stand in ascending doc_id order (nulls first, repeated ids together) and a row that is repeated very
+    often is spread too; a shard is a range, compressed in blocks that hold BLOCK ids or one longer document.
     """
     bound_batches(docs.sparkSession)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
-    dealt = narrow(docs, {"doc_id": "bigint", "text": "string"}).withColumn("_h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_place")]
+    keyed = narrow(docs, {"doc_id": "bigint", "text": "string"}).withColumns({"_h": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(it):
         encoder = byte_encoder(tokenizer)
         shard, block = TaskContext.get().partitionId(), 0
-        base = max(encoder.library.get_vocab_size(), end_id + 1)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        base = max(encoder.size, end_id + 1)
+        end = np.array([end_id], encoder.dtype)
         names, parts, size = [], [], 0
 
         def close():
-            held = np.fromiter(map(len, parts), np.int64, len(parts)) // encoder.dtype.itemsize
-            payload = compress(np.frombuffer(b"".join(parts), encoder.dtype), np.cumsum(held) - held, base)
+            held = np.fromiter(map(len, parts), np.int64, len(parts))
+            payload = compress(np.concatenate(parts), np.cumsum(held) - held, base)
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([len(parts)], pa.int64()), pa.array([int(held.sum())], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
                 ["shard", "block", "n_docs", "n_tokens", "doc_ids", "payload"],
@@ -186,8 +324,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
         for b in batches(it):
             for name, ids in zip(b.column(0).to_pylist(), encoder.encode(texts(b.column(1)))):
                 names.append(name)
-                parts.append(ids + end)
-                size += len(ids) // encoder.dtype.itemsize + 1
+                parts.append(np.append(ids, end))
+                size += len(ids) + 1
                 if size >= BLOCK:
                     yield close()
                     names, parts, size, block = [], [], 0, block + 1

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from cadastra.llm import decontam, hnsw, langid, linededup, pii, simhash, toxicity
@@ -322,6 +323,55 @@ def test_odd_vectors(spark):
     assert hnsw.nearest(data.limit(0), data).count() == 0
 
 
+def brute_nearest(rows, query, k=5):
+    """(-score, id) of the k nearest by double cosine, ties to smaller ids."""
+    q = dict(rows)[query]
+    found = [(-float(hnsw.cosine(q, v)), i) for i, v in rows if i != query]
+    return sorted(found)[:k]
+
+
+def test_multiples_of_a_vector_tie_by_id(spark):
+    rng = np.random.default_rng(3)
+    base, ids = rng.normal(size=16), rng.permutation(700).tolist()
+    rows = [(ids[i], base * 2.0 ** (i - 150)) for i in range(300)] + [(ids[i], rng.normal(size=16)) for i in range(300, 700)]
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id bigint, embedding array<double>")
+    queries = sorted([ids[0], ids[7], ids[299]])
+    got = hnsw.nearest(data, data.where(F.col("vec_id").isin(queries))).orderBy("query_id", "rank").collect()
+    for q in queries:
+        assert [r.vec_id for r in got if r.query_id == q] == [i for _, i in brute_nearest(rows, q)]
+
+
+def test_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 400)
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = hnsw.build_index(data, 5)
+    assert index.count() >= 4
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in data.collect()]
+    got = {}
+    for r in hnsw.search_index(index, data.where("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, found in got.items():
+        like = u @ u[ids == q][0]
+        like[ids == q] = -2
+        hits += len(set(found) & set(ids[np.argsort(-like)[:5]].tolist()))
+    assert len(got) == sum(i % 50 == 0 for i in ids.tolist()) and hits >= 0.95 * 5 * len(got)
+
+
+def test_inserted_links_lead_everywhere():
+    rng = np.random.default_rng(11)
+    x = hnsw.unit(np.repeat(rng.normal(size=(40, 12)), 30, axis=0) + 0.05 * rng.normal(size=(1200, 12))).astype(np.float32)
+    graph = hnsw.Graph.build(x, np.arange(1200))
+    for members, links in graph.layers:
+        assert ((links >= -1) & (links < len(members))).all()
+        assert all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(links))
+    near = graph.search(x[::10], 5)
+    true = np.argsort(-(x[::10] @ x.T), axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(near.tolist(), true.tolist())]) >= 4.75
+
+
 # --- language
 
 

@@ -74,6 +74,12 @@ def narrow(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select(*(df[c].cast(kind).alias(c) for c, kind in wanted.items()))
 
 
+def free_names(df: DataFrame, count: int) -> list[str]:
+    """Column names that df doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    return [c for c in (f"__own{i}" for i in range(count + len(taken))) if c not in taken][:count]
+
+
 class TwoGenerations:
     """A memo of bounded size: of two generations, the older goes when the younger is full."""
 

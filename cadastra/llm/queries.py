@@ -94,23 +94,29 @@ k AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
-_BAND = "array_to_string(r[len(r)*{b}//4+1 : len(r)*({b}+1)//4], ' ')"
-_BANDS = [" || chr(0) || ".join(["path", f"'{v}'"] + ["'<*>'" if b == v else _BAND.format(b=b) for b in range(4)]) for v in range(4)]
-LINES_SQL = f"""
+_SOLID = r"[\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
+_OPEN = "path || chr(0) || '{v}' || chr(0) || array_to_string(r[1 : len(r)*{v}//5], ' ') || chr(0) || array_to_string(r[len(r)*({v}+2)//5+1 : len(r)], ' ')"
+_VARIED = "".join(
+    f" UNION ALL SELECT doc_id, text, i, 'V' || {_OPEN.format(v=v)} FROM f WHERE n >= 6 AND len(r)*{v}//5 < len(r)*({v}+2)//5" for v in range(4)
+)
+LINES_SQL = rf"""
 WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text <> ''),
 l AS (SELECT doc_id, text, i, ls[i+1] AS line FROM (SELECT *, unnest(range(0, len(ls))) AS i FROM s)),
-t AS (SELECT *, list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '') AS tok FROM l),
-m AS (SELECT *, len(tok) AS n, list_transform(tok, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS mt FROM t WHERE len(tok) > 0),
+t AS (SELECT *, list_filter(string_split_regex(regexp_replace(line, '({_SOLID})', ' \1 ', 'g'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS tok FROM l),
+m AS (SELECT *, len(tok) AS n, array_to_string(tok, ' ') AS own,
+    list_transform(tok, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS mt FROM t WHERE len(tok) > 0),
 q AS (SELECT *, CAST(n AS VARCHAR) || ' ' || array_to_string(mt[1:2], ' ') AS path, mt[3:] AS r FROM m),
-e AS (SELECT *, path || chr(0) || array_to_string(r, ' ') AS whole FROM q),
-f AS (SELECT *, lag(n) OVER w AS before_n, lag(whole) OVER w AS before FROM e WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
-k AS (SELECT doc_id, text, i, 'L' || whole AS key FROM f WHERE n >= 4 {"".join(f" UNION ALL SELECT doc_id, text, i, 'B' || {x} FROM f WHERE n >= 8" for x in _BANDS)}
-    UNION ALL SELECT doc_id, text, i, 'S' || before || chr(1) || array_to_string(tok, ' ') FROM f WHERE n < 4 AND before_n >= 4),
+f AS (SELECT *, lag(own) OVER w AS before, lead(own) OVER w AS after FROM q WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)),
+k AS (SELECT doc_id, text, i, 'L' || path || chr(0) || array_to_string(r, ' ') AS key FROM f WHERE n >= 3{_VARIED}
+    UNION ALL SELECT doc_id, text, i, '0' || before || chr(0) || own FROM f WHERE n < 3 AND before IS NOT NULL
+    UNION ALL SELECT doc_id, text, i, '1' || own || chr(0) || after FROM f WHERE n < 3 AND after IS NOT NULL),
 c AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) > 1),
 g AS (SELECT doc_id, text, i, max(doc_id <> first) AS later FROM k JOIN c USING (key) GROUP BY doc_id, text, i),
 h AS (SELECT doc_id, count(*) AS n_recurring, count(*) FILTER (later) AS n_dropped FROM g GROUP BY doc_id),
-o AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i WHERE g.later IS NULL OR NOT g.later GROUP BY l.doc_id)
-SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(h.n_recurring, 0) AS n_recurring, coalesce(h.n_dropped, 0) AS n_dropped,
+o AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS kept
+    FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i WHERE g.later IS NULL OR NOT g.later GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+    coalesce(h.n_recurring, 0) AS n_recurring, coalesce(h.n_dropped, 0) AS n_dropped,
     CASE WHEN coalesce(h.n_dropped, 0) > 0 THEN coalesce(o.kept, '') ELSE d.text END AS text
 FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
 """

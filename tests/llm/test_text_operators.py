@@ -176,9 +176,9 @@ def test_repeated_rows_and_null_ids(spark):
 
 def test_clashing_columns_stay(spark):
     rows = [(1, PASSAGE, 5, 6, 7, 8), (2, PASSAGE, 5, 6, 7, 8), (3, "quite another text of words", 5, 6, 7, 8)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _h int, doc int, n_lines int, first int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __own0 int, doc int, n_lines int, first int")
     out = linededup.drop_recurring_lines(docs)
-    assert out.columns == ["doc_id", "text", "_h", "doc", "first", "n_lines", "n_recurring", "n_dropped"]
+    assert out.columns == ["doc_id", "text", "__own0", "doc", "first", "n_lines", "n_recurring", "n_dropped"]
     assert {tuple(r)[2:5] for r in out.collect()} == {(5, 6, 8)}
     kept = simhash.first_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
@@ -187,17 +187,69 @@ def test_clashing_columns_stay(spark):
     assert langid.keep_known(docs.withColumn("lang", docs["text"]), 0.0).columns == [*docs.columns, "lang"]
 
 
-def test_lines_against_a_loop(spark):
-    docs = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
+def plain_keys(text):
+    """(line number, templates) by the rules in the docstrings, on strings."""
+    lines = []
+    for i, line in enumerate(text.split("\n")):
+        line = re.sub("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])", r" \1 ", line)
+        if tokens := re.findall(r"[^\x09-\x0d\x20]+", line):
+            lines.append((i, tokens))
+    out = []
+    for at, (i, tokens) in enumerate(lines):
+        if len(tokens) < 3:
+            keys = [("before", tuple(lines[at - 1][1]), tuple(tokens))] * (at > 0)
+            keys += [("after", tuple(tokens), tuple(lines[at + 1][1]))] if at + 1 < len(lines) else []
+        else:
+            masked = ["*" if re.search("[0-9]", t) else t for t in tokens]
+            rest, keys = masked[2:], [("whole", *masked)]
+            for v in range(4) if len(masked) >= 6 else ():
+                a, b = len(rest) * v // 5, len(rest) * (v + 2) // 5
+                if a < b:
+                    keys.append((v, len(masked), *masked[:2], tuple(rest[:a]), tuple(rest[b:])))
+        out.append((i, keys))
+    return out
+
+
+def plain_dedup(docs):
+    """Texts without the lines that have a template in an earlier document."""
     first = {}
     for i, t in sorted(docs):
-        for _, keys in linededup.parsed(t):
+        for _, keys in plain_keys(t):
             for k in keys:
-                first.setdefault(k, set()).add(i)
-    got = {r.doc_id: r for r in linededup.drop_recurring_lines(table(spark, "documents")).collect()}
+                first.setdefault(k, i)
+    out = {}
     for i, t in docs:
-        gone = {n for n, keys in linededup.parsed(t) if any(len(first[k]) > 1 and min(first[k]) != i for k in keys)}
-        assert got[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+        gone = {n for n, keys in plain_keys(t) if any(first[k] != i for k in keys)}
+        out[i] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+    return out
+
+
+def test_lines_against_a_loop(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, "documents").collect()]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(table(spark, "documents")).collect()}
+    assert got == plain_dedup(docs)
+
+
+def test_variable_words_and_short_lines(spark):
+    texts = [
+        "the sum paid to John Smith was nine pounds\nown line of the first one", "the sum paid to Anna Jones was nine pounds\nother words stand here now",
+        "Posted by John in General News\nAll rights reserved.", "Posted by Anna in General News\nsome text between\nAll rights reserved.",
+        "milk\nred wine\nbread\nsalt", "my list\nmilk\nred wine\nbread\nsalt\nthe end of it", "yes\nI think so too", "yes\nno it is not",
+        "昔々ある所にお爺さんがいました", "別の話\n昔々ある所にお婆さんがいました", "a\u00a0b c\u0085d", "1 \u0661 x\n\n \t\n", "2 \u0662 x", "\r\n\x0b\n", "it is a long time now", "it is a short time then",
+        "word " * 30000 + "\n" + "line of text here\n" * 20000, "line of text here",
+    ]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(frame(spark, texts)).collect()}
+    assert got == plain_dedup(list(enumerate(texts)))
+    assert got[1] == "other words stand here now" and got[3] == "some text between" and got[5] == "my list\nthe end of it"
+    assert got[7] == texts[7] and got[9] == "別の話" and got[15] == texts[15] and got[17] == ""
+
+
+def test_hot_lines_go_by_broadcast(spark, monkeypatch):
+    texts = [f"{PASSAGE}\nown words of text number {chr(97 + i % 26)}{chr(97 + i // 26)} alone" for i in range(80)]
+    want = plain_dedup(list(enumerate(texts)))
+    for hot in (1, 4096):  # none is hot, then all that recur are
+        monkeypatch.setattr(linededup, "HOT", hot)
+        assert {r.doc_id: r.text for r in linededup.drop_recurring_lines(frame(spark, texts)).collect()} == want
 
 
 # --- SimHash

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +17,12 @@ SIZE, GRAMS, CHAIN, STEPS = 1 << 17, (2, 3, 4), 64, 30
 #: Words whose scores a worker remembers.
 MEMORY = 300_000
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_of(chunk: str) -> str:
-    """A chunk's letters in lower case."""
-    return chunk.lower() if chunk.isalpha() else NOT_LETTERS.sub("", chunk).lower()
+    """A chunk's letters (Unicode category L) in lower case."""
+    return chunk.lower() if chunk.isalpha() else "".join(filter(str.isalpha, chunk)).lower()
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +56,7 @@ class Crf:
         self.labels = labels
         self.weight = np.zeros((SIZE, k), np.float32)
         self.move, self.begin = np.zeros((k, k), np.float32), np.zeros(k, np.float32)
+        self.letters: set[str] = set()  # of the words that it was fitted on
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Label scores of each word: the sum of its features' weights."""
@@ -115,6 +114,7 @@ class Crf:
             gold[i, : len(y)] = y
         valid = at >= 0
         words = list(unique)
+        self.letters = set().union(*words)
         grams, word, whole = features(words)
         start = np.searchsorted(word, np.arange(len(words)))
         parts = [(grams[grams[:, g] >= 0, g], word[grams[:, g] >= 0]) for g in range(grams.shape[1])] + [(whole, np.arange(len(words)))]
@@ -202,14 +202,17 @@ class Labeller:
     def __init__(self, crf: Crf | None):
         self.crf, self.known = crf, {}
         self.table = np.zeros((0, len(crf.labels) if crf else 0), np.float32)
+        self.plain = np.zeros(0, bool)  # words of letters that the model has seen
 
-    def label(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text."""
+    def label(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, confidence) of each text: the language of the greatest mean posterior share, that share,
+        and the mean over words of the posterior of each word's own best language, a word with a letter that no
+        labelled text has counting as 0. Of ties the first label wins."""
         crf, known = self.crf, self.known
         split = [t.split() for t in texts]
         if len(known) > MEMORY:
             known.clear()
-            self.table = self.table[:0]
+            self.table, self.plain = self.table[:0], self.plain[:0]
         new = [c for c in set().union(*split) if c not in known]
         if new:
             words = list(map(word_of, new))
@@ -217,33 +220,39 @@ class Labeller:
             known.update((c, len(self.table) + distinct[w] if w else -1) for c, w in zip(new, words))
             if crf:
                 self.table = np.concatenate([self.table, crf.emissions(list(distinct))])
+                self.plain = np.concatenate([self.plain, np.array([crf.letters.issuperset(w) for w in distinct], bool)])
         at = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in split]
         at = [a[a >= 0] for a in at]
         size = np.fromiter(map(len, at), np.int64, len(at))
-        share = shares(crf, self.table, at) if crf else np.zeros((len(at), 1))
+        if not crf:
+            return [UNKNOWN] * len(at), np.zeros(len(at)), np.zeros(len(at))
+        share, sure = shares(crf, self.table, self.plain, at)
         best = share.argmax(axis=1)
-        name = [crf.labels[i] if crf and n else UNKNOWN for i, n in zip(best.tolist(), size.tolist())]
-        return name, np.clip(np.where(size > 0, share[np.arange(len(at)), best], 0.0), 0, 1).astype(np.float64)
+        name = [crf.labels[i] if n else UNKNOWN for i, n in zip(best.tolist(), size.tolist())]
+        score = np.where(size > 0, share[np.arange(len(at)), best], 0.0)
+        return name, np.clip(score, 0, 1).astype(np.float64), np.clip(sure, 0, 1)
 
 
 def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of each row of docs(doc_id, text); score is the winner's mean posterior share over words."""
+    """(doc_id, held_out, lang_pred, score, confidence) of each row of docs(doc_id, text), see Labeller.label."""
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "held_out", "lang_pred", "score", "confidence"]
 
     def run(it):
         labeller = Labeller(held.value)
         for b in batches(it):
-            name, score = labeller.label(texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(name, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            name, score, sure = labeller.label(texts(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(name, pa.string()), pa.array(score), pa.array(sure)], names)
 
     rows = narrow(docs, {"doc_id": "bigint", "text": "string"}).select("doc_id", "text", F.coalesce(_held_out(), F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, confidence double")
 
 
-def shares(crf: Crf, table: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
-    """Mean posterior label shares of each document's words; documents are cut into chains of CHAIN words."""
-    out = np.zeros((len(at), len(crf.labels)))
+def shares(crf: Crf, table: np.ndarray, plain: np.ndarray, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean posterior label shares of each document's words, and the mean of each word's greatest posterior (0
+    for words that aren't plain); documents are cut into chains of CHAIN words."""
+    out, sure = np.zeros((len(at), len(crf.labels))), np.zeros(len(at))
     todo: list[tuple[int, np.ndarray]] = []
     held = 0
 
@@ -255,9 +264,14 @@ def shares(crf: Crf, table: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
             place = np.arange(max(size))
             valid = place < size[:, None]
             score = np.zeros((*valid.shape, len(crf.labels)), np.float32)
-            score[valid] = table[np.concatenate([w for _, w in part])]
+            word = np.concatenate([w for _, w in part])
+            score[valid] = table[word]
+            seen = np.zeros(valid.shape, bool)
+            seen[valid] = plain[word]
             post, _ = crf.marginals(score, valid)
-            np.add.at(out, [d for d, _ in part], np.where(valid[:, :, None], post, 0).sum(axis=1))
+            of = [d for d, _ in part]
+            np.add.at(out, of, np.where(valid[:, :, None], post, 0).sum(axis=1))
+            np.add.at(sure, of, np.where(seen, post.max(axis=2), 0).sum(axis=1))
         todo.clear()
 
     for d, w in enumerate(at):
@@ -267,8 +281,8 @@ def shares(crf: Crf, table: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
             flush()
             held = 0
     flush()
-    size = np.fromiter(map(len, at), np.int64, len(at))
-    return out / np.maximum(size, 1)[:, None]
+    size = np.maximum(np.fromiter(map(len, at), np.int64, len(at)), 1)
+    return out / size[:, None], sure / size
 
 
 def label_words(crf: Crf, text: str) -> list[tuple[str, str]]:
@@ -285,7 +299,8 @@ def label_words(crf: Crf, text: str) -> list[tuple[str, str]]:
 def identify(docs: DataFrame, docs_limit: int = DOCS) -> DataFrame:
     """train on docs(doc_id, text, lang), then predict every row of it. Only text is an input of a prediction.
 
-    Null texts and texts without a letter give `und`, score 0; so do all texts when nothing is labelled. Rows
+    Null texts and texts without a letter (Unicode category L) give `und`, score 0; so do all texts when nothing is
+    labelled. Rows
     without a doc_id count as not held out and aren't learned from. Repeated rows give repeated results; an empty
     table gives an empty one; extra columns are ignored. Long texts are labelled whole, in chains of CHAIN words.
     """
@@ -293,20 +308,30 @@ def identify(docs: DataFrame, docs_limit: int = DOCS) -> DataFrame:
     return predict(docs, train(docs, docs_limit))
 
 
-def keep_known(docs: DataFrame, least_score: float, docs_limit: int = DOCS) -> DataFrame:
-    """Rows of docs(doc_id, text, lang, ...), with all their columns, whose predicted language isn't `und` and has a
-    score of least_score or more. Where no row has a language to learn from, those with a letter stay."""
+def keep_known(docs: DataFrame, least_confidence: float, docs_limit: int = DOCS) -> DataFrame:
+    """Rows of docs(doc_id, text, lang, ...) whose words are of languages that the model knows, with all their columns;
+    a null lang becomes the predicted one.
+
+    A text goes if it has no letter, or if its words' own best languages have a mean posterior under
+    least_confidence, where words with letters that no labelled text has count as 0: words in another script, or of
+    which the model can't tell the language. A text that mixes known languages stays: each word is sure of its own. Null texts go; repeated rows get the same decision; texts of
+    any length are taken whole; an empty table gives an empty one; columns of any names stay as they are. Where no
+    row has a language to learn from, texts with a letter stay, as they are.
+    """
     bound_batches(docs.sparkSession)
     model = train(docs, docs_limit)
     if model is None:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
+        return docs.where(docs["text"].rlike(r"\p{L}"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(it):
         labeller = Labeller(held.value)
         for b in batches(it):
-            name, score = labeller.label(texts(b.column(at).cast(pa.string())))
-            yield b.filter(pa.array((score >= least_score) & np.array([n != UNKNOWN for n in name])))
+            name, _, sure = labeller.label(texts(b.column(at).cast(pa.string())))
+            own = b.column(lang)
+            filled = pc.coalesce(own, pa.array(name, pa.string()).cast(own.type)) if own.null_count else own
+            b = b.set_column(lang, b.schema.field(lang), filled)
+            yield b.filter(pa.array((sure >= least_confidence) & np.array([n != UNKNOWN for n in name])))
 
     return docs.mapInArrow(run, docs.schema)

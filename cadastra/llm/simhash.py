@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from cadastra.llm.common import batches, bound_batches, cut
+from cadastra.llm.common import batches, bound_batches, cut, free_names
 
 BITS, RADIUS = 64, 3
 #: A bucket of more distinct fingerprints is split again by masks on the bits that its own mask left open.
@@ -196,12 +196,16 @@ def first_of_each(docs: DataFrame, size: int = 3) -> DataFrame:
     """One document of each component of docs(doc_id, text, ...), that of the smallest doc_id (then text hash; nulls
     last), with all its columns; of rows with equal doc_id and text one stays."""
     _, component = _components(docs, size)
-    return only_rows(docs, component.select(F.col("first.i").alias("__id"), F.col("first.d").alias("__doc")).distinct())
+    return only_rows(docs, component.select(F.col("first.i").alias("i"), F.col("first.d").alias("d")).distinct())
 
 
 def only_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """Rows of docs named by stay(__id, __doc), doc_id and text hash, with all their columns; of equal ones one stays."""
-    keyed = docs.withColumns({"__hash": F.xxhash64(docs["text"]), "__own": docs["doc_id"].cast("bigint")})
-    kept = keyed.join(stay, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__doc")), "left_semi")
-    one = Window.partitionBy("__own", "__hash").orderBy("__hash")
-    return kept.withColumn("__n", F.row_number().over(one)).where(F.col("__n") == 1).select(*docs.columns)
+    """Rows of docs named by stay(i, d), doc_id and text hash, with all their columns; of equal ones that of the
+    smallest hash over all columns stays (maps, which have none, aside)."""
+    hash_, own, place, i, d, turn = free_names(docs, 6)
+    plain = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.withColumns({hash_: F.xxhash64(docs["text"]), own: docs["doc_id"].cast("bigint"), turn: F.xxhash64(*plain)})
+    stay = stay.select(stay["i"].alias(i), stay["d"].alias(d))
+    kept = keyed.join(stay, F.col(own).eqNullSafe(F.col(i)) & (F.col(hash_) == F.col(d)), "left_semi")
+    one = Window.partitionBy(own, hash_).orderBy(turn)
+    return kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*docs.columns)

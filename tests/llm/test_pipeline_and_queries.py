@@ -1,6 +1,7 @@
 """The pipeline by a plain loop over stages, and every registered query over its whole table."""
 
 import math
+import re
 import zlib
 
 import duckdb
@@ -10,9 +11,11 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cadastra.llm import decontam, linededup, queries, simhash
+from cadastra.llm import decontam, queries
 from cadastra.llm.langid import identify
 
+from test_text_operators import plain_dedup
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -39,36 +42,22 @@ def test_queries_cover_every_document(spark, name):
     assert got == {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
 
 
+def shingle_set(t):
+    w = re.findall(r"[^\x09-\x0d\x20]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_pipeline(spark):
     """Each stage by the plain rule of its operator, on what the stage before kept."""
     documents = spark.read.parquet(f"{SF}/documents.parquet")
-    known = {r.doc_id for r in identify(documents).collect() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SCORE}
+    known = {r.doc_id for r in identify(documents).collect() if r.lang_pred != "und" and r.confidence >= corpus_pipeline.LEAST_CONFIDENCE}
     docs = {r.doc_id: r.text for r in documents.collect() if r.doc_id in known}
-    first = {}
-    for i, t in sorted(docs.items()):
-        for _, keys in linededup.parsed(t):
-            for k in keys:
-                first.setdefault(k, set()).add(i)
-    cleaned = {}
-    for i, t in docs.items():
-        gone = {n for n, keys in linededup.parsed(t) if any(min(first[k]) != i for k in keys)}
-        left = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
-        if not gone or left.strip():
-            cleaned[i] = left
-    ids = sorted(cleaned)
-    fps = np.array([simhash.fingerprint(cleaned[i].encode()) for i in ids], np.uint64)
-    root = list(range(len(ids)))
-
-    def top(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(ids)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3) + i + 1:
-            a, b = sorted((top(i), top(j)))
-            root[b] = a
-    kept = {ids[i]: cleaned[ids[i]] for i in range(len(ids)) if top(i) == i}
+    cleaned = {i: t for i, t in plain_dedup(list(docs.items())).items() if t == docs[i] or t.strip()}
+    kept, sets = {}, {}
+    for i in sorted(cleaned):
+        own = shingle_set(cleaned[i])
+        if not any(own == s or len(own & s) >= 0.8 * len(own | s) for s in sets.values()):
+            kept[i], sets[i] = cleaned[i], own
     windows = decontam.WindowSet([(str(r.item_id), r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     import pyarrow as pa
 
@@ -98,3 +87,22 @@ def test_stages_keep_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns, name
     assert all(stage(spark, docs.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_stages_with_odd_rows(spark):
+    """Null ids and texts, empty and very long texts, repeated rows, columns with the operators' own names."""
+    long = " ".join(f"the word number w{i} of it" for i in range(9000))
+    rows = [(1, None, "en"), (1, None, "en"), (None, "the word of the day is good here", "en"), (2, "", None), (3, long, "en"), (3, long, "en"), (4, "12 ½", None)]
+    rows += [(10 + i, f"the day of the house number x{i} was a good one for them all", "en" if i % 2 else None) for i in range(20)]
+    names = ["n_lines", "n_dropped", "__own0", "__hash", "_key", "s", "confidence", "start"]
+    docs = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id bigint, text string, lang string, " + ", ".join(f"{c} int" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all([r[c] for c in names] == list(range(8)) for r in got), name
+        ids = [r.doc_id for r in got]
+        assert ids.count(3) == (1 if name == "near_dedup" else 2), name
+        assert all(r.text == long for r in got if r.doc_id == 3), name
+        assert (1 in ids) == (name != "language_id") and (4 in ids) == (name != "language_id"), name
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, docs, SF).collect()} == {r[0] for r in rows}

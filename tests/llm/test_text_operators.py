@@ -449,6 +449,20 @@ def test_odd_texts_have_no_language(spark):
     assert kept.columns == docs.columns and all(r.text and any(c.isalpha() for c in r.text) for r in kept.collect())
 
 
+def test_other_languages_go_and_null_lang_is_filled(spark):
+    docs = table(spark, "documents", "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    mixed = [r.text for r in docs.where("lang in ('en', 'fr') and length(text) > 400").orderBy("doc_id").limit(40).collect()]
+    odd = [(10**6, "привет мир это русский текст о погоде", "ru?"), (10**6 + 1, "½ ² ① 12", None), (10**6 + 2, "λόγος και πράξη στην πόλη", None)]
+    odd += [(10**6 + 10 + i, " ".join([*a.split()[:40], *b.split()[:40]]), None) for i, (a, b) in enumerate(zip(mixed[::2], mixed[1::2]))]
+    rows = docs.union(spark.createDataFrame([(i, t, None) for i, t, _ in odd], docs.schema))
+    kept = {r.doc_id: r.lang for r in langid.keep_known(rows, 0.6).collect()}
+    assert not {10**6, 10**6 + 1, 10**6 + 2} & set(kept)
+    assert all(kept.get(i) in ("en", "fr", "de", "es") for i, _, _ in odd[3:])
+    assert {r.doc_id for r in docs.where("text rlike '[a-z]'").collect()} <= set(kept)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(rows).collect()}
+    assert got[10**6 + 1] == "und"
+
+
 def test_marginals_are_those_of_all_paths():
     from itertools import product
 

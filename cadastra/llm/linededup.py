@@ -128,14 +128,14 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     keyed = docs.withColumns({hash_: F.hash(docs["text"]), other: docs["doc_id"].cast("bigint")})
     joined = keyed.join(per, F.col(other).eqNullSafe(F.col(own)) & (F.col(hash_) == F.col(doc)), "left")
     text = joined["text"].cast("string")
-    lines = F.split(text, "\n")
-    # The lines between those that go, slice by slice: linear in the number of lines.
-    stops = F.concat(F.col(gone), F.array(F.size(lines)))
-    kept = F.flatten(F.transform(stops, lambda stop, i: _between(lines, F.when(i > 0, F.get(stops, i - 1)).otherwise(-1), stop)))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    # The lines between those that go, slice by slice; both arrays are made once: linear in the number of lines.
+    both = F.struct(F.split(text, "\n").alias("l"), F.concat(F.col(gone), F.array(n_lines)).alias("stop"))
+    kept = F.get(F.transform(F.array(both), lambda b: F.flatten(F.transform(b["stop"], lambda stop, i: _between(b, stop, i)))), 0)
     n_dropped = F.coalesce(F.size(F.coalesce(F.col(gone), F.array().cast("array<int>"))), F.lit(0))
     new_text = F.when(n_dropped > 0, F.array_join(kept, "\n")).otherwise(text)
     counts = {
-        "n_lines": F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(lines)).cast("bigint"),
+        "n_lines": F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(n_lines).cast("bigint"),
         "n_recurring": F.coalesce(F.col(recurring), F.lit(0)),
         "n_dropped": n_dropped.cast("bigint"),
     }
@@ -144,6 +144,7 @@ def drop_recurring_lines(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     return joined.select(*(new[c].alias(c) if c in new else joined[c] for c in same), *(v.alias(k) for k, v in counts.items()))
 
 
-def _between(lines: F.Column, before: F.Column, stop: F.Column) -> F.Column:
-    """The lines after number `before` up to number `stop`, both left out."""
-    return F.slice(lines, before + 2, stop - before - 1)
+def _between(both: F.Column, stop: F.Column, i: F.Column) -> F.Column:
+    """The lines after the stop before number i up to that stop, both left out."""
+    before = F.when(i > 0, F.get(both["stop"], i - 1)).otherwise(-1)
+    return F.slice(both["l"], before + 2, stop - before - 1)

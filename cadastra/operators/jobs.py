@@ -220,11 +220,14 @@ def recall_of(reads: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def located_pages(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """(sheet, side, pages, missing): field-note pages(page, text) that describe each side of targets(sheet, t, r), and the sides without any."""
+    """(sheet, side, pages, missing): field-note pages(page, text) that describe each side of targets(sheet, t, r), and
+    the sides without any; a target without a page on any side has one row, with a null side and all four missing."""
     named = pages.select("page", fieldnotes.page_title(F.col("text")).alias("h")).where("h is not null").select("page", "h.dir", "h.t", "h.r")
     sides = joins.neighbour_rule(named, targets).groupBy("sheet", "side").agg(F.array_sort(F.collect_set("page")).alias("pages"))
-    missing = sides.groupBy("sheet").agg(F.array_sort(F.array_except(F.array(*(F.lit(s) for s in "NSEW")), F.collect_set("side"))).alias("missing"))
-    return sides.join(missing, "sheet")
+    all_sides = F.array(*(F.lit(s) for s in "NSEW"))
+    every = targets.select("sheet").distinct().join(sides, "sheet", "left")
+    missing = every.groupBy("sheet").agg(F.array_sort(F.array_except(all_sides, F.collect_set("side"))).alias("missing"))
+    return every.join(missing, "sheet")
 
 
 def curated(candidates: DataFrame, least: float = 0.3, first_year: int = 1970) -> DataFrame:

@@ -77,7 +77,9 @@ def area_spread(rows: DataFrame, keys: list[str], ratio: str) -> DataFrame:
 
 
 def curve_rows(inline: DataFrame, table: DataFrame) -> DataFrame:
-    """Curves of the table and those inline ones that it doesn't have by rounded radius and length."""
-    key = lambda df: df.withColumns({"_r": F.round("radius", 2), "_l": F.round("length", 2)})
+    """Curves of the table and those inline ones that it doesn't have: a curve is the same if radius and length agree
+    to one decimal place, a missing length counting as 0."""
+    one = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0.0)).cast("double"), 1)
+    key = lambda df: df.withColumns({"_r": one("radius"), "_l": one("length")})
     extra = key(inline).join(key(table).select("sheet", "_r", "_l").distinct(), ["sheet", "_r", "_l"], "left_anti").drop("_r", "_l")
     return table.unionByName(extra.select(*table.columns))

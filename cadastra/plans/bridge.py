@@ -23,7 +23,7 @@ VIEWS = {
     "v_labels": """SELECT CAST(label AS BIGINT) AS sheet, vec_id AS label, round(CAST(EL(embedding,5) AS DOUBLE)*1000, 3) AS cx, round(CAST(EL(embedding,6) AS DOUBLE)*1000, 3) AS cy,
         round(CAST(EL(embedding,7) AS DOUBLE)*500 + 500, 2) % 180.0e0 AS angle, 8.0e0 AS size, round(CAST(EL(embedding,8) AS DOUBLE)*100 + 200, 2) AS v FROM embeddings""",
     "v_reads": """SELECT user_id AS sheet, CAST(event_id % 5 AS INT) AS sample, event_type AS kind, CAST(CAST(round(value) AS INT) AS STRING) AS raw, round(value, 2) AS v, event_id FROM events""",
-    "v_truth": """SELECT l_orderkey AS sheet, round(l_quantity + (l_partkey % 5)/10.0e0, 2) AS truth, round(l_quantity + (l_suppkey % 7)/20.0e0, 2) AS got, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk FROM lineitem WHERE l_orderkey % 4 = 0 OR l_orderkey % 4 <> 0""",
+    "v_truth": """SELECT l_orderkey AS sheet, round(l_quantity + (l_partkey % 5)/10.0e0, 2) AS truth, round(l_quantity + (l_suppkey % 7)/20.0e0, 2) AS got, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk FROM lineitem""",
     "v_curves": """SELECT p_partkey AS curve, p_retailprice AS r, p_size*1.5e0 AS delta FROM part WHERE p_retailprice > 0""",
     "v_results": """SELECT o_custkey AS sheet, o_orderkey AS variant, CAST(o_orderkey % 40 AS INT) AS hits, CAST(40 + o_orderkey % 60 AS INT) AS total, CAST(30 + (o_orderkey*7) % 200 AS INT) AS seconds FROM orders""",
     "v_pages": """SELECT doc_id AS page, concat('Course: N', CAST(doc_id % 89 AS STRING), '°', PRINTF('%02d', CAST(doc_id % 60 AS INT)), '''', PRINTF('%02d', CAST((doc_id*7) % 60 AS INT)), '"E ', 'Length: ', CAST(100 + doc_id % 700 AS STRING), '.', PRINTF('%02d', CAST(doc_id % 100 AS INT)),

@@ -122,10 +122,11 @@ def orientation(spark, sf_dir):
     return score.orientation(view(spark, sf_dir, "v_segments"), ["sheet"], "x0", "y0").select("sheet", F.round("angle", 3).alias("angle"), F.round("along", 3).alias("along"))
 
 
-@query("""WITH p AS (SELECT s.sheet, l.label, s.seg, least(abs(l.angle - a) % 180.0e0, 180 - abs(l.angle - a) % 180.0e0) AS da, ((l.cx-x0)*(x1-x0)+(l.cy-y0)*(y1-y0))/(power(x1-x0,2)+power(y1-y0,2)) AS t, abs((l.cx-x0)*(y1-y0)-(l.cy-y0)*(x1-x0))/sqrt(power(x1-x0,2)+power(y1-y0,2)) AS dist
-    FROM (SELECT *, (degrees(atan2(x1-x0, y0-y1)) + 360) % 180.0e0 AS a FROM v_segments WHERE x0<>x1 OR y0<>y1) s JOIN v_labels l ON l.sheet = s.sheet), r AS (SELECT *, row_number() OVER (PARTITION BY sheet, label ORDER BY dist, seg) AS k FROM p WHERE da <= 20 AND t BETWEEN -0.15 AND 1.15 AND dist < 32) SELECT sheet, label, seg, round(dist, 3) AS dist FROM r WHERE k = 1""")
+@query("""WITH big AS (SELECT * REPLACE (2.0e0 + label % 60 AS size) FROM v_labels), p AS (SELECT s.sheet, l.label, l.size, s.seg, least(abs(l.angle - a) % 180.0e0, 180 - abs(l.angle - a) % 180.0e0) AS da, ((l.cx-x0)*(x1-x0)+(l.cy-y0)*(y1-y0))/(power(x1-x0,2)+power(y1-y0,2)) AS t, abs((l.cx-x0)*(y1-y0)-(l.cy-y0)*(x1-x0))/sqrt(power(x1-x0,2)+power(y1-y0,2)) AS dist
+    FROM (SELECT *, (degrees(atan2(x1-x0, y0-y1)) + 360) % 180.0e0 AS a FROM v_segments WHERE x0<>x1 OR y0<>y1) s JOIN big l ON l.sheet = s.sheet), r AS (SELECT *, row_number() OVER (PARTITION BY sheet, label ORDER BY dist, seg) AS k FROM p WHERE da <= 20 AND t BETWEEN -0.15 AND 1.15 AND dist < greatest(12, 4*size)) SELECT sheet, label, seg, round(dist, 3) AS dist FROM r WHERE k = 1""")
 def bind_labels(spark, sf_dir):
-    return joins.bind_labels(view(spark, sf_dir, "v_labels"), view(spark, sf_dir, "v_segments")).withColumn("dist", F.round("dist", 3))
+    labels = view(spark, sf_dir, "v_labels").withColumn("size", 2.0 + F.col("label") % 60)
+    return joins.bind_labels(labels, view(spark, sf_dir, "v_segments")).withColumn("dist", F.round("dist", 3))
 
 
 @query("""WITH a AS (SELECT sheet, label, v FROM v_labels), b AS (SELECT DISTINCT sheet, label % 7 AS seg, v FROM v_labels WHERE label % 2 = 1) SELECT sheet, seg, v, coalesce(bool_or(own), false) AS on_segment, coalesce(bool_or(any_), false) AS anywhere FROM (SELECT DISTINCT x.sheet, x.label % 7 AS seg, x.v, b.seg = x.label % 7 AS own, b.v IS NOT NULL AS any_ FROM a x LEFT JOIN b ON b.sheet = x.sheet AND abs(b.v - x.v) <= 0.205) GROUP BY sheet, seg, v""")
@@ -139,10 +140,10 @@ def township_neighbours(spark, sf_dir):
     return joins.neighbour_rule(view(spark, sf_dir, "v_townships"), view(spark, sf_dir, "v_targets"))
 
 
-@query("""WITH p AS (SELECT DISTINCT round(r, -2) AS p FROM v_curves WHERE curve % 50 = 0), j AS (SELECT v.curve, p.p, row_number() OVER (PARTITION BY v.curve ORDER BY abs(p.p - v.r), p.p) AS k FROM v_curves v JOIN p ON abs(p.p - v.r) <= 0.25*p.p) SELECT v.curve, j.p AS snapped FROM v_curves v LEFT JOIN j ON j.curve = v.curve AND j.k = 1""")
+@query("""WITH p AS (SELECT DISTINCT curve % 20 AS sheet, round(r, -2) AS p FROM v_curves), j AS (SELECT v.curve, p.p, row_number() OVER (PARTITION BY v.curve ORDER BY abs(p.p - v.r*1.2e0), p.p) AS k FROM v_curves v JOIN p ON p.sheet = v.curve % 20 AND abs(p.p - v.r*1.2e0) <= 0.25*p.p) SELECT v.curve, j.p AS snapped FROM v_curves v LEFT JOIN j ON j.curve = v.curve AND j.k = 1""")
 def nearest_published_radius(spark, sf_dir):
-    v = view(spark, sf_dir, "v_curves")
-    return joins.nearest_value(v, "r", v.where("curve % 50 = 0").select(F.round("r", -2).alias("p")), "p").select("curve", "snapped")
+    v = view(spark, sf_dir, "v_curves").withColumns({"sheet": F.col("curve") % 20, "read": F.col("r") * 1.2})
+    return joins.nearest_value(v, "read", v.select("sheet", F.round("r", -2).alias("p")), "p", ["sheet"]).select("curve", "snapped")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)")
@@ -159,12 +160,17 @@ def control_sample_sizes(spark, sf_dir):
     return joins.sampled_controls(every, lab, "sheet", "seg", 0.5).groupBy("sheet").agg(F.count("*").alias("controls"))
 
 
-@query("""WITH t AS (SELECT p_partkey % 40 AS sheet, round(p_retailprice, 2) AS radius, CAST(p_size AS DOUBLE) AS length, 'table' AS src FROM part WHERE p_partkey % 2 = 0), i AS (SELECT p_partkey % 40 AS sheet, round(p_retailprice, 2) AS radius, CAST(p_size AS DOUBLE) AS length, 'inline' AS src FROM part WHERE p_partkey % 3 = 0)
-    SELECT * FROM t UNION ALL SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.sheet = i.sheet AND t.radius = i.radius AND t.length = i.length)""")
+@query("""WITH t AS (SELECT p_partkey // 2 % 40 AS sheet, round((p_partkey*37 % 101)/25.0e0, 2) AS radius, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) % 5 END AS length, 'table' AS src FROM part WHERE p_partkey % 2 = 0), i AS (SELECT p_partkey // 2 % 40 AS sheet, round((p_partkey*37 % 101)/25.0e0, 2) AS radius, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) % 5 END AS length, 'inline' AS src FROM part WHERE p_partkey % 2 = 1)
+    SELECT * FROM t UNION ALL SELECT * FROM i WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.sheet = i.sheet AND round_even(t.radius, 1) = round_even(i.radius, 1) AND round_even(coalesce(t.length, 0), 1) = round_even(coalesce(i.length, 0), 1))""")
 def curve_table_union(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_partkey") % 40).alias("sheet"), F.round("p_retailprice", 2).alias("radius"), F.col("p_size").cast("double").alias("length"))
-    pick = lambda k, s: p.where(F.col("p_partkey") % k == 0).select("sheet", "radius", "length", F.lit(s).alias("src"))
-    return score.curve_rows(pick(3, "inline"), pick(2, "table"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, length = F.col("p_partkey"), F.col("p_size").cast("double") % 5
+
+    def side(odd, without, src):
+        known = F.when(k % without != 0, length)
+        return p.where(k % 2 == odd).select(F.expr("p_partkey div 2 % 40").alias("sheet"), F.round(k * 37 % 101 / 25.0, 2).alias("radius"), known.alias("length"), F.lit(src).alias("src"))
+
+    return score.curve_rows(side(1, 5, "inline"), side(0, 7, "table"))
 
 
 @query("WITH c AS (SELECT sheet, variant, hits/total AS rec FROM v_results) SELECT sheet, variant FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY variant DESC) AS k FROM c WHERE rec >= 0.3) WHERE k = 1")
@@ -177,15 +183,10 @@ def area_ratio_spread(spark, sf_dir):
     return score.area_spread(view(spark, sf_dir, "v_results").withColumn("q", F.try_divide("total", "seconds")), ["sheet"], "q").withColumn("spread", F.round("spread", 6))
 
 
-@query("""WITH p AS (SELECT curve % 50 AS k, cos(radians(x*17+curve))*(50 + curve % 50) + 10 AS x, sin(radians(x*17+curve))*(50 + curve % 50) - 5 AS y FROM (SELECT curve, unnest(range(0,6)) AS x FROM v_curves WHERE curve < 50)) SELECT k, 10.0 AS cx, -5.0 AS cy, CAST(50 + k AS DOUBLE) AS r, count(*) AS n FROM p GROUP BY k""".replace("10.0 AS cx, -5.0 AS cy", "10.0e0 AS cx, -5.0e0 AS cy"))
-def circle_fits(spark, sf_dir, whole=False):
-    v = view(spark, sf_dir, "v_curves").where("true" if whole else "curve < 50").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5))))
+@query("""WITH p AS (SELECT curve % 50 AS k, cos(radians(x*17+curve))*(50 + curve % 50) + 10 AS x, sin(radians(x*17+curve))*(50 + curve % 50) - 5 AS y FROM (SELECT curve, unnest(range(0,6)) AS x FROM v_curves)) SELECT k, 10.0 AS cx, -5.0 AS cy, CAST(50 + k AS DOUBLE) AS r, count(*) AS n FROM p GROUP BY k""".replace("10.0 AS cx, -5.0 AS cy", "10.0e0 AS cx, -5.0e0 AS cy"))
+def circle_fits(spark, sf_dir):
+    v = view(spark, sf_dir, "v_curves").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5))))
     a, r = F.radians(F.col("i") * 17 + F.col("curve")), 50 + F.col("curve") % 50
     p = v.select((F.col("curve") % 50).alias("k"), (F.cos(a) * r + 10).alias("x"), (F.sin(a) * r - 5).alias("y"))
     return fit.circle_sums(p, ["k"]).select("k", *(F.round(c, 4).alias(c) for c in ("cx", "cy", "r")), "n")
 
-
-@query()
-def circle_fits_whole(spark, sf_dir):
-    """The same fits over the curves of every part, where the SQL of circle_fits stops at 50."""
-    return circle_fits(spark, sf_dir, whole=True)

@@ -78,7 +78,7 @@ def html_scrape(spark, sf_dir):
     return p.select("page_id", text.title_of(F.col("html")).alias("title"), F.array_join(text.links_of(F.col("html")), " ").alias("links"), text.slug(F.col("url")).alias("slug"))
 
 
-@query("""SELECT page_id, url_decode(list_last(string_split(regexp_replace(url, '/+$', ''), '/'))) AS name FROM pages WHERE NOT contains(url, '+')""".replace("list_last(string_split(regexp_replace(url, '/+$', ''), '/'))", "string_split(regexp_replace(url, '/+$', ''), '/')[-1]"))
+@query("""SELECT page_id, url_decode(replace(list_last(string_split(regexp_replace(url, '/+$', ''), '/')), '+', '%2B')) AS name FROM pages""".replace("list_last(string_split(regexp_replace(url, '/+$', ''), '/'))", "string_split(regexp_replace(url, '/+$', ''), '/')[-1]"))
 def url_names(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return p.select("page_id", text.last_segment(F.col("url")).alias("name"))

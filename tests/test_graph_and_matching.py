@@ -170,3 +170,64 @@ def test_votes_count_samples_once(spark):
     assert {r.raw: r.votes for r in score.votes(reads, ["sheet"], "sample").collect()} == {"a": 2, "b": 1}
     got = {r.option: r.n for r in score.frontier(reads, ["sheet"], "sample", [("u1", 1, 1), ("u3", 3, 1), ("m2", 3, 2)]).collect()}
     assert got == {"u1": 1, "u3": 2, "m2": 1}
+
+
+def test_labels_reach_as_far_as_their_size(spark):
+    """Against a loop over all pairs: sizes whose reach goes over many cells, upright, level and slanting lines."""
+    rng = np.random.default_rng(4)
+    segs = [(1, k, *map(float, rng.uniform(-900, 900, 4))) for k in range(40)] + [(1, 40, 0.0, -500.0, 0.0, 700.0), (1, 41, -300.0, 100.0, 650.0, 100.0)]
+    labels = [(1, k, *map(float, rng.uniform(-900, 900, 2)), float(rng.uniform(0, 180)), float(rng.choice([1.0, 10.0, 40.0, 120.0]))) for k in range(80)]
+    got = joins.bind_labels(
+        spark.createDataFrame(labels, "sheet long, label long, cx double, cy double, angle double, size double"),
+        spark.createDataFrame(segs, "sheet long, seg long, x0 double, y0 double, x1 double, y1 double"),
+    ).collect()
+    want = {}
+    for _, label, cx, cy, angle, size in labels:
+        best = []
+        for _, seg, x0, y0, x1, y1 in segs:
+            dx, dy = x1 - x0, y1 - y0
+            t = ((cx - x0) * dx + (cy - y0) * dy) / (dx * dx + dy * dy)
+            d = np.hypot(cx - x0 - t * dx, cy - y0 - t * dy)
+            axis = np.degrees(np.arctan2(dx, -dy)) % 180
+            gap = abs(angle - axis) % 180
+            if min(gap, 180 - gap) <= 20 and -0.15 <= t <= 1.15 and d < max(12.0, 4 * size):
+                best.append((d, seg))
+        if best:
+            want[label] = min(best)[1]
+    assert {r.label: r.seg for r in got} == want and len(want) > 20
+
+
+def test_arcs_take_in_only_curved_neighbours(spark):
+    def chains(*parts):
+        rows = [(1, k, i, float(x), float(y)) for k, part in enumerate(parts) for i, (x, y) in enumerate(part)]
+        return spark.createDataFrame(rows, "sheet long, chain long, pos long, x double, y double")
+
+    turn = lambda a, b, r, n=12: [(r * np.cos(t), r * np.sin(t)) for t in np.linspace(a, b, n)]
+    line = [(50.0, -y) for y in (0.0, 5.0, 10.0, 15.0)]
+    got = fit.merged_chains(chains(turn(0, 0.5, 50), turn(1.0, 0.5, 50), line), 0.5, 0.1).collect()
+    assert {r.chain: r.arc for r in got} == {0: 0, 1: 0, 2: 2}
+    flat = fit.merged_chains(chains(turn(0, 0.02, 900, 6), turn(0.02, 0.04, 900, 6)), 0.5, 0.35).collect()
+    assert {r.chain: r.arc for r in flat} == {0: 0, 1: 1}  # nearly straight: the radius is beyond the greatest
+    assert fit.merged_chains(chains([(0.0, 0.0)])).count() == 0
+
+
+def test_snapping_is_strict_and_drops_what_collapses(spark):
+    schema = "sheet long, seg long, x0 double, y0 double, x1 double, y1 double"
+    rows = [(1, 0, 0.0, 0.0, 10.0, 0.0), (1, 1, 12.0, 0.0, 20.0, 0.0), (1, 2, 5.0, 0.3, 5.0, 0.8), (1, 3, 40.0, 40.0, 40.0, 40.0), (1, 4, 41.0, 40.0, 60.0, 40.0)]
+    got = {r.seg: r for r in fit.snapped_ends(spark.createDataFrame(rows, schema), 2.0).collect()}
+    assert set(got) == {0, 1, 4} and got[1].x0 == 12.0 and got[4].x0 == 41.0
+
+
+def test_radii_snap_to_those_of_their_sheet(spark):
+    rows = spark.createDataFrame([(1, 52.0), (2, 52.0), (3, 52.0)], "sheet long, r double")
+    table = spark.createDataFrame([(1, 50.0), (1, 60.0), (2, 100.0)], "sheet long, p double")
+    got = {r.sheet: r.snapped for r in joins.nearest_value(rows, "r", table, "p", ["sheet"]).collect()}
+    assert got == {1: 50.0, 2: None, 3: None}
+
+
+def test_inline_curves_are_known_to_one_place(spark):
+    schema = "sheet long, radius double, length double"
+    table = spark.createDataFrame([(1, 50.01, 12.02), (1, 80.0, None)], schema)
+    inline = spark.createDataFrame([(1, 50.04, 11.98), (1, 80.0, 0.0), (1, 80.0, 3.0), (2, 50.01, 12.02)], schema)
+    got = sorted((r.sheet, r.radius, r.length or 0) for r in score.curve_rows(inline, table).collect())
+    assert got == [(1, 50.01, 12.02), (1, 80.0, 0), (1, 80.0, 3.0), (2, 50.01, 12.02)]

@@ -77,6 +77,8 @@ def test_pages_and_listings(spark):
     targets = spark.createDataFrame([("p", 28, 80)], "sheet string, t int, r int")
     got = {r.side: (r.pages, r.missing) for r in jobs.located_pages(pages, targets).collect()}
     assert got == {"E": ([1], ["N", "W"]), "S": ([2], ["N", "W"])}
+    far = jobs.located_pages(pages, spark.createDataFrame([("q", 1, 1)], "sheet string, t int, r int")).collect()
+    assert [(r.sheet, r.side, r.pages, r.missing) for r in far] == [("q", None, None, ["E", "N", "S", "W"])]
     listing = spark.createDataFrame([("a", "top\nPLATS\n1985 and 1990\nx\nhttp://q/1.pdf\nhttp://q/2.pdf\nEND\nhttp://q/3.pdf")], "sheet string, text string")
     assert sorted((r.year, r.url) for r in jobs.listed_plats(listing, "PLATS", "END").collect()) == [(1990, "http://q/1.pdf"), (1990, "http://q/2.pdf")]
     c = spark.createDataFrame([("a", "n1", 1960, 10, 5, 9, 10), ("a", "n2", 1980, 10, 5, 9, 10), ("a", "n3", 1990, 10, 5, 1, 10), ("a", "n_s", 1995, 10, 5, 9, 10)], "sheet string, name string, year int, bearings int, distances int, hits int, total int")

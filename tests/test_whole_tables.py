@@ -7,11 +7,11 @@ from cadastra.plans import catalog
 SF = "/root/testdata/sf0.01"
 catalog.load()
 GRIDS = {
-    "planar_arrangement_whole": lambda i, k: {"edges": 2 * k * (k + 1), "nodes": (k + 1) ** 2},
-    "planar_faces_whole": lambda i, k: {"faces": k * k, "area": 10000.0, "legs": 4},
-    "face_closure_whole": lambda i, k: {"rings": k * k, "passed": k * k - 1, "theta": 12.0},
-    "link_validation_whole": lambda i, k: {"status": "not_evaluable", "reason": "invalid_edge_99999", "misclosure": None} if i % 2 else {"status": "evaluated", "reason": None, "misclosure": 0.0},
-    "course_flags_whole": lambda i, k: {"courses": 2 * k * (k + 1), "clean": 2 * k * (k + 1) - 1, "flagged": 1},
+    "planar_arrangement": lambda i, k: {"edges": 2 * k * (k + 1), "nodes": (k + 1) ** 2},
+    "planar_faces": lambda i, k: {"faces": k * k, "area": 10000.0, "legs": 4},
+    "face_closure": lambda i, k: {"rings": k * k, "passed": k * k - 1, "theta": 12.0},
+    "link_validation": lambda i, k: {"status": "not_evaluable", "reason": "invalid_edge_99999", "misclosure": None} if i % 2 else {"status": "evaluated", "reason": None, "misclosure": 0.0},
+    "course_flags": lambda i, k: {"courses": 2 * k * (k + 1), "clean": 2 * k * (k + 1) - 1, "flagged": 1},
 }
 
 
@@ -37,7 +37,7 @@ def test_every_curve_is_recovered(spark):
 
 
 def test_every_part_is_fitted(spark):
-    got = {r.k: r for r in catalog.QUERIES["circle_fits_whole"](spark, SF).collect()}
+    got = {r.k: r for r in catalog.QUERIES["circle_fits"](spark, SF).collect()}
     n = spark.read.parquet(f"{SF}/part.parquet").where("p_retailprice > 0").count()
     assert sorted(got) == list(range(50)) and sum(r.n for r in got.values()) == 6 * n
     assert all((r.cx, r.cy, r.r) == (10.0, -5.0, 50.0 + k) for k, r in got.items())
@@ -46,4 +46,4 @@ def test_every_part_is_fitted(spark):
 def test_urls_with_a_plus_have_names(spark, tmp_path):
     spark.createDataFrame([(1, "http://a.b/c+d%20e/"), (2, "http://a.b/x")], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.name for r in catalog.QUERIES["url_names"](spark, str(tmp_path)).collect()}
-    assert got == {1: "c d e", 2: "x"}
+    assert got == {1: "c+d e", 2: "x"}

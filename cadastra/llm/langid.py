@@ -14,8 +14,8 @@ from cadastra.llm.common import batches, bound_batches, narrow, texts
 DOCS, SEGMENTS, WORDS = 3000, 4, 48
 #: Hashed features; n-grams of marked words; words of a chain; steps of the fit.
 SIZE, GRAMS, CHAIN, STEPS = 1 << 17, (2, 3, 4), 64, 30
-#: Words whose scores a worker remembers.
-MEMORY = 300_000
+#: Chunks whose scores a worker remembers, and the longest that it does.
+MEMORY, LONGEST = 300_000, 256
 UNKNOWN = "und"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -224,6 +224,9 @@ class Labeller:
         at = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in split]
         at = [a[a >= 0] for a in at]
         size = np.fromiter(map(len, at), np.int64, len(at))
+        for c in new:
+            if len(c) > LONGEST:  # the memo's bound on chunks is one on bytes too
+                del known[c]
         if not crf:
             return [UNKNOWN] * len(at), np.zeros(len(at)), np.zeros(len(at))
         share, sure = shares(crf, self.table, self.plain, at)

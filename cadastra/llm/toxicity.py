@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.common import batches, bound_batches, narrow, texts
 
-#: The model is fitted on at most so many labelled documents of each grade, chosen by hash, with at most so many distinct words each.
-DOCS, DOC_WORDS = 6000, 4000
-#: Words enter the model from so many documents on; at most so many of them.
-LEAST_DOCS, VOCABULARY = 5, 1 << 15
+#: The model is fitted on at most so many labelled documents of each label, chosen by hash, with at most so many
+#: distinct words each: some 140 MB of words at most reach the driver.
+DOCS, DOC_WORDS = 4000, 2000
+#: Words enter the model from so many documents on, and from a difference of so many standard errors on.
+LEAST_DOCS, LEAST_Z = 5, 2.5
 STEPS, RATE, DECAY = 150, 0.1, 2e-4
-MEMORY = 300_000
+MEMORY, LONGEST = 300_000, 256
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -31,6 +32,18 @@ def words_in(text: str) -> set[str]:
     return {w for c in set(text.split()) for w in words_of(c)}
 
 
+def telling_words(docs: list[list[str]], marked: list[bool]) -> list[str]:
+    """Words in LEAST_DOCS documents or more whose shares of marked and of other documents differ by LEAST_Z standard
+    errors or more. The many words that tell nothing would outweigh the few that do in long documents."""
+    count = [Counter(w for d, m in zip(docs, marked) if m == side for w in d) for side in (True, False)]
+    n = [max(1, sum(marked)), max(1, len(marked) - sum(marked))]
+    words = sorted(w for w in set(count[0]) | set(count[1]) if count[0][w] + count[1][w] >= LEAST_DOCS)
+    a, b = (np.array([c[w] for w in words], float) for c in count)
+    p = (a + b) / sum(n)
+    error = np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
+    return [w for w, z in zip(words, np.abs(a / n[0] - b / n[1]) / error) if z >= LEAST_Z]
+
+
 class Ordinal:
     """P(grade > j) = sigmoid(w.x - cut[j]) with one weight vector and ascending cuts."""
 
@@ -43,9 +56,9 @@ class Ordinal:
 
     @classmethod
     def fit(cls, docs: list[list[str]], grades: list[int], levels: int) -> Ordinal:
-        """Maximum likelihood (Adam) with decay; x holds a 1 for each word of the vocabulary that a document has."""
-        count = Counter(w for d in docs for w in d)
-        kept = sorted((w for w, n in count.items() if n >= LEAST_DOCS), key=lambda w: (-count[w], w))[:VOCABULARY]
+        """Maximum likelihood (Adam) with decay; x holds a 1 for each word of the vocabulary that a document has: of the
+        words whose share of documents differs between grade 0 and the others by more than chance."""
+        kept = telling_words(docs, [g > 0 for g in grades])
         vocabulary = {w: i for i, w in enumerate(kept)}
         at = [[vocabulary[w] for w in d if w in vocabulary] for d in docs]
         index = np.array([i for a in at for i in a], np.int64)
@@ -81,36 +94,46 @@ class Ordinal:
 
 
 def severity_grades(docs: list[list[str]], toxic: list[bool]) -> list[int]:
-    """Grades 0 (clean), 1 (mild), 2 (severe) from a yes-or-no label: a toxic document is severe if more of its words
-    are marked than in the median toxic document; marked words are far more frequent in toxic documents."""
-    bad, good = Counter(), Counter()
-    for d, t in zip(docs, toxic):
-        (bad if t else good).update(d)
-    n_bad, n_good = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    marked = {w for w, n in bad.items() if n >= LEAST_DOCS and n / n_bad > 20 * (good[w] + 0.5) / n_good}
-    number = [sum(w in marked for w in d) for d in docs]
-    ordered = sorted(n for n, t in zip(number, toxic) if t)
-    middle = ordered[len(ordered) // 2] if ordered else 0
-    return [0 if not t else 2 if n > middle else 1 for n, t in zip(number, toxic)]
+    """Grades 0 (clean), 1 (mild), 2 (severe) from a yes-or-no label. How plainly a document is toxic is told by a
+    scorer that hasn't seen it: each half of the documents is scored by a two-grade model of the other half, and the
+    toxic ones above the median toxic score of their half are severe. Without toxic and clean ones in both halves, or
+    with equal scores, none is severe."""
+    out = [int(t) for t in toxic]
+    halves = [range(h, len(docs), 2) for h in (0, 1)]
+    for own, other in (halves, halves[::-1]):
+        known = [toxic[i] for i in other]
+        bad = [i for i in own if toxic[i]]
+        if not bad or not any(known) or all(known):
+            return [int(t) for t in toxic]
+        scorer = Ordinal.fit([docs[i] for i in other], [int(t) for t in known], 2)
+        z = {i: sum(scorer.weight[scorer.vocabulary[w]] for w in docs[i] if w in scorer.vocabulary) for i in bad}
+        middle = sorted(z.values())[len(z) // 2]
+        for i in bad:
+            out[i] += z[i] > middle
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, docs_limit: int = DOCS) -> Ordinal | None:
-    """A model from labelled documents: of docs(doc_id, text) joined with labels(doc_id, toxic), at most docs_limit of
-    either label, chosen by hash, each with at most DOC_WORDS of its distinct words (by hash), reach the driver.
-    Several labels of a document count by their greatest. None if either label is missing."""
-    one = narrow(labels, {"doc_id": "bigint", "toxic": "int"}).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    sizes = dict(one.groupBy("toxic").count().collect())
-    part = F.pmod(F.xxhash64("doc_id", F.lit("severity")), F.lit(1 << 30))
-    bound = lambda t: int(min(1.0, docs_limit / max(1, sizes.get(t, 0))) * (1 << 30))
-    picked = one.where(F.when(F.col("toxic"), part < bound(True)).otherwise(part < bound(False))).limit(3 * docs_limit)
+    """A model from labelled documents: of docs(doc_id, text) joined with labels(doc_id, toxic), about docs_limit of
+    either label, those of the least hash, each with at most DOC_WORDS of its distinct words (by hash), reach the
+    driver. Several labels of a document count by their greatest, several texts of an id by that of the least hash, so
+    that the sample is the same in each run. None if either label is missing."""
+    one = narrow(labels, {"doc_id": "bigint", "toxic": "int"}).where("doc_id is not null and toxic is not null")
+    one = one.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    part = F.xxhash64("doc_id", F.lit("severity"))
+    least = [one.where(F.col("toxic") == t).orderBy(part, "doc_id").limit(docs_limit) for t in (True, False)]
+    picked = least[0].union(least[1])
 
     def run(it):
         for b in batches(it):
-            found = [sorted(words_in(t), key=hash_of)[:DOC_WORDS] for t in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(f) for f in found], pa.string())], ["toxic", "words"])
-
-    rows = narrow(docs, {"doc_id": "bigint", "text": "string"}).where("text is not null").join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInArrow(run, "toxic boolean, words string").limit(3 * docs_limit).collect()
-    toxic, split = [r[0] for r in rows], [r[1].split(" ") if r[1] else [] for r in rows]
+            found = [sorted(words_in(t), key=hash_of)[:DOC_WORDS] for t in texts(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(f) for f in found], pa.string())], ["doc_id", "toxic", "words"])
+
+    rows = narrow(docs, {"doc_id": "bigint", "text": "string"}).where("text is not null").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("t"))
+    found = rows.select("doc_id", "toxic", "t.text").mapInArrow(run, "doc_id bigint, toxic boolean, words string").collect()
+    found.sort(key=lambda r: (hash_of(str(r[0])), r[0]))
+    toxic, split = [r[1] for r in found], [r[2].split(" ") if r[2] else [] for r in found]
     if not any(toxic) or all(toxic):
         return None
     grades = severity_grades(split, toxic)
@@ -127,7 +150,8 @@ def hash_of(word: str) -> int:
 
 
 def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
-    """(doc_id, severity, grade, p_toxic, toxic) of each row of docs: expected grade, most probable grade, P(grade > 0), and whether that is at least a half."""
+    """(doc_id, severity, grade, p_toxic, toxic) of each row of docs: expected grade, most probable grade, P(grade > 0),
+    and whether that is at least a half."""
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -141,11 +165,14 @@ def score(docs: DataFrame, model: Ordinal | None) -> DataFrame:
                 if len(known) > MEMORY:
                     known = {}
                 get, weight = m.vocabulary.get, m.weight
-                for c in set().union(*split):
-                    if c not in known:
-                        known[c] = tuple(i for w in words_of(c) if (i := get(w)) is not None)
+                new = [c for c in set().union(*split) if c not in known]
+                for c in new:
+                    known[c] = tuple(i for w in words_of(c) if (i := get(w)) is not None)
                 none = ()
                 activation[:] = [weight[list({i for k in c if (x := known[k]) is not none for i in x})].sum() for c in split]
+                for c in new:
+                    if len(c) > LONGEST:  # the memo's bound on chunks is one on bytes too
+                        del known[c]
             above = m.above(activation) if m else np.zeros((len(split), 1))
             p = np.concatenate([np.ones((len(split), 1)), above], 1) - np.concatenate([above, np.zeros((len(split), 1))], 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(axis=1)), pa.array(p.argmax(axis=1)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
@@ -158,7 +185,8 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, docs_limit: int = DOCS) -
 
     Null and empty texts have no words and get the model's base rate; without both labels every severity is 0.
     Labels with null doc_id or null toxic aren't learned from; of ties, the lower grade is named. Repeated rows give
-    repeated results; an empty table gives an empty one; extra columns are ignored.
+    repeated results; an empty table gives an empty one; extra columns are ignored, whatever their names. Texts of any
+    length are scored whole.
     """
     bound_batches(docs.sparkSession)
     return score(docs, train(docs, labels, docs_limit))

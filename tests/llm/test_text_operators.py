@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -76,7 +77,7 @@ def test_leaks_of_odd_texts(spark):
 
 
 def test_leaks_in_parts_are_the_same(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(decontam, "PART_BYTES", 32)
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert found(spark, frame(spark, EDGE), items) == leaks(list(enumerate(EDGE)), [x for x in ITEMS if x[0] is not None])
     kept = decontam.remove_leaks(frame(spark, EDGE), items)
@@ -516,3 +517,60 @@ def test_cuts_are_ordered_and_likelihood_is_right():
     assert (np.diff(m.cuts) > 0).all()
     z = np.array([m.weight[[m.vocabulary[w] for w in d]].sum() for d in docs[:4]])
     assert (m.above(z).sum(axis=1).round().astype(int) == [2, 1, 0, 0]).all()
+
+
+def test_held_out_toxicity(spark):
+    """Fitted on two thirds of the labels, judged on the rest."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, "documents", sf), table(spark, "labels", sf)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    model = toxicity.train(docs, labels.where(fold != 0))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    rows = [r for r in labels.where(fold == 0).collect() if r.doc_id in got]
+    bad, good = [got[r.doc_id].p_toxic for r in rows if r.toxic], [got[r.doc_id].p_toxic for r in rows if not r.toxic]
+    assert len(bad) > 20 and np.mean(np.array(bad) >= 0.5) > 0.85 and np.mean(np.array(good) >= 0.5) < 0.01
+    loss = -np.mean([np.log(np.clip(p, 1e-6, 1)) for p in bad]) / 2 - np.mean([np.log(np.clip(1 - p, 1e-6, 1)) for p in good]) / 2
+    assert loss < 0.25  # 0.69 is a coin's
+
+
+def test_fit_is_the_most_likely_model():
+    """No change of a weight or a cut makes the grades, each counted alike, more likely under the decay."""
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(6)]
+    docs = [[w for w in words if rng.random() < 0.5] for _ in range(240)]
+    grades = [int(np.clip(sum(w in ("w0", "w1") for w in d) + (rng.random() < 0.2), 0, 2)) for d in docs]
+    m = toxicity.Ordinal.fit(docs, grades, 3)
+
+    def value(weight, cuts):
+        total, each = 0.0, [grades.count(g) for g in range(3)]
+        for d, g in zip(docs, grades):
+            z = sum(weight[m.vocabulary[w]] for w in d if w in m.vocabulary)
+            above = [1.0, *(1 / (1 + np.exp(c - z)) for c in cuts), 0.0]
+            total += np.log(above[g] - above[g + 1]) / each[g] / 3
+        return total - toxicity.DECAY / 2 * float(weight @ weight)
+
+    best = value(m.weight, m.cuts)
+    for k in range(len(m.weight)):
+        for step in (-0.5, 0.5):
+            assert value(m.weight + step * np.eye(len(m.weight))[k], m.cuts) < best
+    for k in range(2):
+        for step in (-0.4, 0.4):
+            assert value(m.weight, m.cuts + step * np.eye(2)[k]) < best
+
+
+def test_odd_documents_for_every_operator(spark):
+    """Ties, long texts and columns with the operators' own names."""
+    own = ["severity", "grade", "p_toxic", "toxic", "n_tokens", "over_limit", "lang_pred", "score", "held_out", "found", "spans", "start", "length"]
+    texts = ["fool and liar " * 20000, "a b c", "a b c", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", *range(len(own))) for i, t in enumerate(texts)] + [(1, "a b c", "en", *range(len(own)))], "doc_id bigint, text string, lang string, " + ", ".join(f"{c} int" for c in own))
+    labels = spark.createDataFrame([(0, 1, 1), (1, 0, 1)], "doc_id bigint, toxic int, grade int")
+    from cadastra.llm.packing import pack
+    from cadastra.llm.repair import token_ids
+    from cadastra.llm.tokens import count_tokens
+
+    word, byte = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    frames = [toxicity.grade_toxicity(docs, labels), count_tokens(docs, word), token_ids(docs, byte), pii.find_personal_data(docs), langid.identify(docs), simhash.near_duplicates(docs)]
+    for f in frames:
+        got = sorted(r.doc_id for r in f.collect())
+        assert got == [0, 1, 1, 2, 3, 4], f.columns
+    assert {r.doc_id for r in pack(docs, byte).collect()} == {0, 1, 2, 3, 4}

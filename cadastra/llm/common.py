@@ -27,10 +27,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one will do as
+    long as all runs on one machine (tests); a cluster must name its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "cadastra-shared")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -81,10 +84,13 @@ def free_names(df: DataFrame, count: int) -> list[str]:
 
 
 class TwoGenerations:
-    """A memo of bounded size: of two generations, the older goes when the younger is full."""
+    """A memo of bounded size: of two generations, the older goes when the younger is full. Keys longer than LONGEST
+    are forgotten after their batch, so the bound on keys is one on bytes."""
+
+    LONGEST = 256
 
     def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit // 2, {}, {}
+        self.limit, self.young, self.old, self.long = limit // 2, {}, {}, []
 
     def missing(self, keys) -> list:
         """Keys that must be computed; those known from the older generation move to the younger one."""
@@ -95,10 +101,14 @@ class TwoGenerations:
                     young[k] = old[k]
                 else:
                     out.append(k)
+        self.long += [k for k in out if len(k) > self.LONGEST]
         return out
 
     def settle(self) -> None:
         """Between batches: a full younger generation becomes the older one."""
+        for k in self.long:
+            self.young.pop(k, None)
+        self.long = []
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
 

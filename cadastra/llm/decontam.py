@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -9,13 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.common import batches, bound_batches, narrow, utf8_buffers
+from cadastra.llm.common import batches, bound_batches, free_names, narrow, shared_table, utf8_buffers
 
 SIZE = 10
-#: Test items go to the executors in blocks of at most so many words; more items take more passes.
-BLOCK_WORDS = 2_000_000
-#: The driver gathers test items only up to this many bytes of text; a larger benchmark is scanned in hashed parts of that size.
-BLOCK_BYTES = 32 << 20
+#: Windows of so many bytes of test items (or of one longer item) are held at once; more items take more passes.
+PART_BYTES = 4 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -134,52 +133,75 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
+def _tests(benchmark: DataFrame) -> DataFrame:
+    return narrow(benchmark, {"item_id": "string", "text": "string"}).where("item_id is not null and text is not null")
+
+
+def _parts(benchmark: DataFrame) -> int:
+    """Passes that a benchmark takes, by its bytes, which are summed before anything is gathered."""
+    total = _tests(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-int(total) // PART_BYTES))
+
+
+def _windows(benchmark: DataFrame, size: int, part: int = 0, parts: int = 1) -> WindowSet:
+    """The windows of one part of the items, by hash of id and text, so that no id makes a part large."""
+    tests = _tests(benchmark)
+    mine = tests if parts == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+    return WindowSet([(r[0], r[1].encode()) for r in mine.toLocalIterator()], size)
+
+
+def _pass(docs: DataFrame, windows: WindowSet) -> DataFrame:
+    """(doc_id, text, n_words, spans, items) of docs(doc_id, text) against a set of windows, which is sent once."""
+    held = docs.sparkSession.sparkContext.broadcast(windows)
+    names = ["doc_id", "text", "n_words", "spans", "items"]
 
     def run(it):
-        windows = WindowSet(held.value, size)
+        windows = held.value
         for b in batches(it):
             number, spans, found = windows.scan(b.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(number), pa.array([merged(s) for s in spans], pa.list_(pa.int64())), pa.array([[windows.ids[i] for i in sorted(f)] for f in found], pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "spans", "items"],
-            )
+            merged_spans = pa.array([merged(s) for s in spans], pa.list_(pa.int64()))
+            items = pa.array([sorted({windows.ids[i] for i in f}) for f in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(number), merged_spans, items], names)
 
     return docs.mapInArrow(run, "doc_id bigint, text string, n_words bigint, spans array<bigint>, items array<string>")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
+def _in_parts(numbered: DataFrame, benchmark: DataFrame, size: int, parts: int) -> DataFrame:
+    """(row, n_words, spans, items) of written rows numbered(doc_id, text), doc_id being the row's number: one pass for
+    each part of the benchmark, then each row's results together."""
+    held = [_pass(numbered, _windows(benchmark, size, p, parts)).drop("text") for p in range(parts)]
+    every = functools.reduce(DataFrame.unionByName, held)
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    both = every.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), items.alias("items"))
+
+    def run(it):
+        for b in batches(it):
+            yield b.set_column(2, "spans", pa.array([merged(s) for s in b.column(2).to_pylist()], pa.list_(pa.int64())))
+
+    return both.mapInArrow(run, "row bigint, n_words bigint, spans array<bigint>, items array<string>")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, spans) of each row of docs(doc_id, text) against benchmark(item_id, text).
 
-    spans: hit word positions as flat [from, to, ...]. One narrow pass over docs when the test items fit in one
-    block (checked by their bytes before anything is gathered). A larger benchmark goes in hashed parts, each
-    within the block's bound, one pass each; every document's parts then meet by its row number and are merged.
-    Null texts have no words, in docs and benchmark; an item without words has no window; items without
-    an id are left out; repeated items count by id; repeated rows of docs give repeated results; empty tables
-    give empty results or no hits; extra columns are ignored.
+    spans: hit word positions as flat [from, to, ...]. One narrow pass over docs when the test items fit in one part
+    (checked by their bytes before anything is gathered). A larger benchmark goes in parts, one pass each; the rows
+    are then written once with their numbers, by which each row's results meet.
+    Null texts have no words, in docs and benchmark; an item without words has no window; items without an id are
+    left out; repeated items count by id, and an item that occurs several times once; repeated rows of docs give
+    repeated results; texts of any length are scanned whole; empty tables give empty results or no hits; extra
+    columns are ignored.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    docs = narrow(docs, {"doc_id": "bigint", "text": "string"})
-    tests = narrow(benchmark, {"item_id": "string", "text": "string"}).where("item_id is not null and text is not null")
-    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(total) // (BLOCK_BYTES // 2)))
-    gathered = lambda p: [(r[0], r[1].encode()) for r in (tests if parts == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p)).toLocalIterator()]
+    bound_batches(docs.sparkSession)
+    docs, parts = narrow(docs, {"doc_id": "bigint", "text": "string"}), _parts(benchmark)
     if parts == 1:
-        out = _pass(docs, gathered(0), size)
+        out = _pass(docs, _windows(benchmark, size))
     else:
-        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-        held = [_pass(numbered.select(F.col("_row").alias("doc_id"), "text"), gathered(p), size).drop("text") for p in range(parts)]
-        every = held[0]
-        for more in held[1:]:
-            every = every.unionByName(more)
-        by_row = every.groupBy(F.col("doc_id").alias("_row")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        join_spans = F.udf(merged, "array<bigint>")
-        out = numbered.join(by_row, "_row").select("doc_id", "text", "n_words", join_spans("spans").alias("spans"), "items")
+        numbered = shared_table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        found = _in_parts(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, size, parts)
+        out = numbered.drop("text").join(found, F.col("_row") == F.col("row"))
     hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    columns = ["doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans"]
-    return out.select(*columns, *(["text"] if with_text else []))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans")
 
 
 def drop_spans(text: str, spans: list[int]) -> str:
@@ -195,41 +217,47 @@ def drop_spans(text: str, spans: list[int]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
+def _cut(b: pa.RecordBatch, at: int, number: np.ndarray, spans: list[list[int]], drop_share: float) -> pa.RecordBatch:
+    """The rows of a batch that stay, their text (column at) without the hit spans."""
+    hit = np.array([sum(s[1::2]) - sum(s[::2]) for s in spans], np.int64)
+    stay = np.flatnonzero((hit == 0) | (hit < drop_share * number))
+    old = b.column(at).to_pylist()
+    new = pa.array([old[i] if old[i] is None else drop_spans(old[i], spans[i]) for i in stay], b.schema.field(at).type)
+    b = b.take(pa.array(stay))
+    return pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(b.num_columns)], schema=b.schema)
+
+
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, drop_share: float = 0.5) -> DataFrame:
     """docs(doc_id, text, ...) without leaked passages.
 
-    A document is dropped when at least drop_share of its words are hit; otherwise the hit spans are cut out of
-    its text. Documents without a hit stay as they are, null and empty ones too. Other columns stay; n_chars,
-    if present, follows the new text.
+    A document is dropped when at least drop_share of its words are hit; otherwise the hit spans are cut out of its
+    text. Documents without a hit stay as they are, null and empty ones too; repeated rows get the same decision; texts
+    of any length are scanned whole; an empty table gives an empty one. Other columns stay, whatever their names;
+    n_chars, if present, follows the new text.
     """
-    spark = docs.sparkSession
-    if _benchmark_bytes(benchmark) > BLOCK_BYTES // 2:
-        numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-        found = find_leaks(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, size)
-        joined = numbered.join(found.select(F.col("doc_id").alias("__row"), F.col("n_words").alias("__words"), F.col("n_hit").alias("__hit"), F.col("spans").alias("__spans")), "__row")
-        cutter = F.udf(lambda t, s: t if t is None else drop_spans(t, s), "string")
-        out = joined.where((F.col("__hit") == 0) | (F.col("__hit") < drop_share * F.col("__words"))).withColumn("text", cutter("text", "__spans")).select(*docs.columns)
-    else:
-        bound_batches(spark)
-        tests = narrow(benchmark, {"item_id": "string", "text": "string"}).where("item_id is not null and text is not null")
-        held = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in tests.toLocalIterator()])
-        at = docs.columns.index("text")
+    spark, at, parts = docs.sparkSession, docs.columns.index("text"), _parts(benchmark)
+    bound_batches(spark)
+    if parts == 1:
+        held = spark.sparkContext.broadcast(_windows(benchmark, size))
 
         def run(it):
-            windows = WindowSet(held.value, size)
             for b in batches(it):
-                number, spans, _ = windows.scan(b.column(at).cast(pa.string()))
-                joined = [merged(s) for s in spans]
-                hit = np.array([sum(s[1::2]) - sum(s[::2]) for s in joined], np.int64)
-                stay = np.flatnonzero((hit == 0) | (hit < drop_share * number))
-                old = b.column(at).to_pylist()
-                new = pa.array([old[i] if old[i] is None else drop_spans(old[i], joined[i]) for i in stay], b.schema.field(at).type)
-                b = b.take(pa.array(stay))
-                yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(b.num_columns)], schema=b.schema)
+                number, spans, _ = held.value.scan(b.column(at).cast(pa.string()))
+                yield _cut(b, at, number, [merged(s) for s in spans], drop_share)
 
         out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")) if "n_chars" in docs.columns else out
+    else:
+        row, same, words_, spans_ = free_names(docs, 4)
+        numbered = shared_table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found = _in_parts(numbered.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, size, parts)
+        found = found.select(F.col("row").alias(same), F.col("n_words").alias(words_), F.col("spans").alias(spans_))
+        joined = numbered.join(found, F.col(row) == F.col(same)).select(*docs.columns, words_, spans_)
+        width = len(docs.columns)
 
+        def run(it):
+            for b in batches(it):
+                number, spans = b.column(width).to_numpy(zero_copy_only=False), b.column(width + 1).to_pylist()
+                yield _cut(b.select(list(range(width))), at, number, spans, drop_share)
 
-def _benchmark_bytes(benchmark: DataFrame) -> int:
-    return int(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint")) if "n_chars" in docs.columns else out

@@ -19,7 +19,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, in the folder named by spark.checkpoint.dir where it is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/cadastra-checkpoints-{os.getuid()}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"file://{tempfile.gettempdir()}/cadastra-checkpoints-{os.getuid()}")
     return df.checkpoint()
 
 

@@ -26,4 +26,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from cadastra.plans import q_geometry, q_graph, q_jobs, q_matching, q_text  # noqa: F401
+    from cadastra.plans import q_geometry, q_graph, q_jobs, q_matching, q_sheet, q_text  # noqa: F401

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from cadastra.functions import geom
 from cadastra.operators import jobs
 
 
@@ -13,3 +14,11 @@ def test_arcs_are_fitted_without_joins(spark):
     assert "Join" not in arcs._jdf.queryExecution().optimizedPlan().toString()
     assert "Broadcast" not in rest._jdf.queryExecution().executedPlan().toString()
     assert [(r.n, r.r) for r in arcs.groupBy(F.round("r", 3).alias("r")).agg(F.count("*").alias("n")).collect()] == [(20, 50.0)] and not rest.count()
+
+
+def test_a_label_vote_solves_each_pair_once(spark):
+    labels = {k: F.col(k) for k in ("r", "delta", "arc", "chord", "tangent")}
+    v = spark.createDataFrame([(100.0, 30.0, 52.3599, 51.7638, 26.7949), (100.0, 30.0, 52.3599, 51.7638, 71.0)], "r double, delta double, arc double, chord double, tangent double").select(geom.checked_curve(labels).alias("k"))
+    assert [r.k.suspects for r in v.collect()] == [[], ["tangent"]]
+    plan = v._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") <= 3  # two pairs are halved, one fold over the ballots

@@ -1,7 +1,12 @@
-"""One-to-one tolerance matching of short lists, as folds over arrays: one row a sheet, no Python."""
+"""One-to-one tolerance matching of lists, one row a sheet: folds over arrays, and a search in Python for long ones."""
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +33,67 @@ def greedy_hits(reads: Column, truth: Column, tolerance: float, modulo: bool = F
     return F.aggregate(F.coalesce(reads, F.array().cast("array<double>")), start, step, lambda s: s["hit"])
 
 
+def _taken(reads: np.ndarray, truth: np.ndarray, tolerance: float, modulo: bool) -> int:
+    """greedy_hits of one row by a search in the sorted distinct truths; those used up are skipped by links that shorten
+    themselves."""
+    places: dict[float, list[int]] = {}
+    for i, v in enumerate(truth.tolist()):
+        places.setdefault(v, []).append(i)
+    held = sorted(places, key=lambda v: math.fmod(math.fmod(v, 180.0) + 180.0, 180.0)) if modulo else sorted(places)
+    at = [math.fmod(math.fmod(v, 180.0) + 180.0, 180.0) for v in held] if modulo else held
+    own, n, hit = [places[v] for v in held], len(held), 0
+    ups, downs = list(range(n + 1)), list(range(n + 1))  # downs are one place up: downs[i + 1] is about place i
+
+    def free(link, i):
+        top = i
+        while link[top] != top:
+            top = link[top]
+        while link[i] != top:
+            link[i], i = top, link[i]
+        return top
+
+    for r in reads.tolist():
+        m = math.fmod(math.fmod(r, 180.0) + 180.0, 180.0) if modulo else r
+        best = None
+        for lap in (0.0, -180.0, 180.0) if modulo else (0.0,):
+            k = bisect.bisect_left(at, m + lap)
+            for link, i, step in ((ups, k, 1), (downs, k, -1)):
+                near = None
+                while True:
+                    i = free(link, i)
+                    j = i if step > 0 else i - 1
+                    # Rounding may bring places that differ by it to one distance, so all of those are looked at.
+                    if not 0 <= j < n or near is not None and abs(at[j] - m - lap) > near + 1e-9:
+                        break
+                    near = abs(at[j] - m - lap) if near is None else near
+                    if near > tolerance + 1e-9:
+                        break
+                    d = abs(held[j] - r)
+                    if modulo:
+                        d = math.fmod(d, 180.0)
+                        d = min(d, 180.0 - d)
+                    if d <= tolerance and (best is None or (d, -own[j][-1]) < best[0]):
+                        best = (d, -own[j][-1]), j
+                    i += step
+        if best:
+            j, hit = best[1], hit + 1
+            own[j].pop()
+            if not own[j]:
+                ups[j], downs[j + 1] = j + 1, j
+    return hit
+
+
+def greedy_hits_of_long(reads: Column, truth: Column, tolerance: float, modulo: bool = False) -> Column:
+    """greedy_hits for lists of any length: a search for each read, not a pass over all truths that are left."""
+
+    @F.pandas_udf("int")
+    def hits(r: pd.Series, t: pd.Series) -> pd.Series:
+        array = lambda v: np.zeros(0) if v is None else np.asarray([x for x in v if x is not None and x == x], float)
+        return pd.Series([_taken(array(a), array(b), tolerance, modulo) for a, b in zip(r, t)], dtype="int32")
+
+    return hits(reads, truth)
+
+
 def greedy_candidate_hits(truth: Column, candidates: Column, tolerance: float) -> Column:
     """Number of truths, in order, matched by a read that is still free; a read is a list of azimuths (mod 180).
 

@@ -1,10 +1,14 @@
 """Plans and results that hold on larger tables and on angles that lie exactly on a limit."""
 
+import random
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadastra.functions import geom
-from cadastra.operators import jobs
+from cadastra.operators import jobs, matching
 
 
 def test_arcs_are_fitted_without_joins(spark):
@@ -22,3 +26,24 @@ def test_a_label_vote_solves_each_pair_once(spark):
     assert [r.k.suspects for r in v.collect()] == [[], ["tangent"]]
     plan = v._jdf.queryExecution().analyzed().toString()
     assert plan.count("aggregate(") <= 3  # two pairs are halved, one fold over the ballots
+
+
+@pytest.mark.parametrize("modulo", [False, True])
+def test_long_lists_are_matched_like_short_ones(spark, modulo):
+    rng = random.Random(7)
+    rows = [([rng.randrange(-200, 4000) / 10 for _ in range(rng.randrange(60))], [rng.randrange(-200, 4000) / 10 for _ in range(rng.randrange(60))]) for _ in range(300)]
+    rows += [([], [1.0]), (None, [1.0]), ([1.0], None), ([360.0, 0.0, 180.0], [0.0, 179.95])]
+    v = spark.createDataFrame(rows, "r array<double>, t array<double>")
+    for tolerance in (0.05, 0.2, 3.0):
+        args = F.col("r"), F.col("t"), tolerance, modulo
+        got = v.select(matching.greedy_hits(*args).alias("a"), matching.greedy_hits_of_long(*args).alias("b")).collect()
+        assert [r.b for r in got] == [r.a for r in got]
+
+
+def test_a_sheet_of_many_reads_is_checked(spark):
+    n = 20000
+    lines = spark.range(n).selectExpr("0L as sheet", "0D as x0", "0D as y0", "0D as x1", "double(id + 1) as y1")
+    reads = spark.range(n).selectExpr("0L as sheet", "format_string('%d.00', id + 1) as raw", "'distance' as kind")
+    began = time.time()
+    r = jobs.self_check(lines, reads).first()
+    assert (r.scale, r.distance_hits, r.distances) == (1.0, n, n) and time.time() - began < 60

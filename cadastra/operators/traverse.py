@@ -101,7 +101,8 @@ def corners(ring: DataFrame, group: str, order: str, azimuth: str = "az", turn:
     w = _ordered(group, order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag(azimuth).over(w), F.last(azimuth).over(whole))
-    return ring.withColumn("corner", F.abs(F.pmod(F.col(azimuth) - before + 180, F.lit(360.0)) - 180) > turn)
+    # Two turns are added before the rest is taken, as in SQL: a turn that lies on the limit then rounds to the same side.
+    return ring.withColumn("corner", F.abs(F.pmod(F.col(azimuth) - before + 180 + 720, F.lit(360.0)) - 180) > turn)
 
 
 def spans(ring: DataFrame, group: str, order: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.functions import angles, geom
-from cadastra.operators import jobs, matching
+from cadastra.operators import jobs, matching, traverse
 
 
 def test_arcs_are_fitted_without_joins(spark):
@@ -57,3 +57,9 @@ def test_angles_on_a_limit_fall_as_in_sql(spark):
         ahead = abs(math.fmod(r.a - r.b + 180 + 360, 360.0) - 180)
         back = abs(math.fmod(r.a - r.b - 180 + 180 + 360, 360.0) - 180)
         assert (r.s, r.f) == (1 if ahead < back else -1, round(math.fmod(r.a + 180, 360.0) if ahead > 90 else r.a, 4))
+
+
+def test_a_turn_on_the_limit_falls_as_in_sql(spark):
+    rows = [(k, i, az) for k in range(2000) for i, az in ((0, k / 100), (1, (k + 2200) / 100))]
+    got = traverse.corners(spark.createDataFrame(rows, "ring long, pos int, az double"), "ring", "pos").where("pos = 1").collect()
+    assert {r.ring: r.corner for r in got} == {k: abs(math.fmod((k + 2200) / 100 - k / 100 + 180 + 720, 360.0) - 180) > 22 for k in range(2000)}

@@ -114,9 +114,11 @@ def spans(ring: DataFrame, group: str, order: str) -> DataFrame:
     return ring.withColumn("span", F.when(n == 0, total).otherwise(n))
 
 
-def best_turns(options: DataFrame, group: str, option: str, miss: str) -> DataFrame:
-    """(group, option, misclosure): the option of least misclosure, the first of equals."""
-    return options.groupBy(group).agg(F.min(F.struct(F.col(miss).alias("m"), F.col(option).alias("o"))).alias("_b")).select(group, F.col("_b.o").alias(option), F.col("_b.m").alias(miss))
+def best_turns(options: DataFrame, group: str, option: str, miss: str, rank: Column | None = None) -> DataFrame:
+    """(group, option, misclosure): the option of least rank, by itself its misclosure, the first of equals, and the
+    least misclosure."""
+    ranked = F.struct((F.col(miss) if rank is None else rank).alias("m"), F.col(option).alias("o"))
+    return options.groupBy(group).agg(F.min(ranked).alias("_b"), F.min(miss).alias("_m")).select(group, F.col("_b.o").alias(option), F.col("_m").alias(miss))
 
 
 def turn_options(legs: DataFrame, group: str, order: str, unknown: str = "unknown") -> DataFrame:

@@ -63,3 +63,9 @@ def test_a_turn_on_the_limit_falls_as_in_sql(spark):
     rows = [(k, i, az) for k in range(2000) for i, az in ((0, k / 100), (1, (k + 2200) / 100))]
     got = traverse.corners(spark.createDataFrame(rows, "ring long, pos int, az double"), "ring", "pos").where("pos = 1").collect()
     assert {r.ring: r.corner for r in got} == {k: abs(math.fmod((k + 2200) / 100 - k / 100 + 180 + 720, 360.0) - 180) > 22 for k in range(2000)}
+
+
+def test_an_earlier_option_wins_by_a_hair(spark):
+    o = spark.createDataFrame([(1, 0, 27.2039), (1, 2, 27.2038), (2, 0, 9.0), (2, 1, 5.0), (2, 2, 5.0)], "ring long, option int, m double")
+    got = {r.ring: (r.option, r.m) for r in traverse.best_turns(o, "ring", "option", "m", F.col("m") * 10 + F.col("option") / 1000.0).collect()}
+    assert got == {1: (0, 27.2038), 2: (1, 5.0)} and {r.ring: r.option for r in traverse.best_turns(o, "ring", "option", "m").collect()} == {1: 2, 2: 1}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import angles, geom
 from cadastra.operators import jobs, matching, traverse
+from cadastra.plans import catalog
 
 
 def test_arcs_are_fitted_without_joins(spark):
@@ -69,3 +70,11 @@ def test_an_earlier_option_wins_by_a_hair(spark):
     o = spark.createDataFrame([(1, 0, 27.2039), (1, 2, 27.2038), (2, 0, 9.0), (2, 1, 5.0), (2, 2, 5.0)], "ring long, option int, m double")
     got = {r.ring: (r.option, r.m) for r in traverse.best_turns(o, "ring", "option", "m", F.col("m") * 10 + F.col("option") / 1000.0).collect()}
     assert got == {1: (0, 27.2038), 2: (1, 5.0)} and {r.ring: r.option for r in traverse.best_turns(o, "ring", "option", "m").collect()} == {1: 2, 2: 1}
+
+
+def test_pages_are_first_by_their_number_in_a_million(spark, tmp_path):
+    rows = [(999999, 7), (1000039, 7), (1000079, 7), (39, 8), (79, 8)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    catalog.load()
+    got = {r.sheet: (r.best_page, r.best) for r in catalog.QUERIES["page_audit"](spark, str(tmp_path)).collect()}
+    assert got == {7: (1000039, 39), 8: (39, 39)}

@@ -77,7 +77,9 @@ def area_with_arcs(legs: DataFrame, group: str, order: str) -> DataFrame:
     bows = run.where("r is not null").groupBy(group).agg(*(F.sum(F.when(F.coalesce(F.col("side"), F.lit("R")) == s, segment_area(F.col("r"), F.radians(F.abs(F.col("delta"))))).otherwise(0.0)).alias(n) for s, n in (("R", "_right"), ("L", "_left"))))
     out = last.join(polygon, group).join(bows, group, "left")
     net = F.coalesce(F.col("_right") - F.col("_left"), F.lit(0.0)) * F.when(F.col("signed_area") > 0, 1.0).otherwise(-1.0)
-    return out.select(group, "perimeter", F.hypot("_last.e", "_last.n").alias("closure"), (F.abs("signed_area") + net).alias("area"))
+    # The root of squares, not hypot: a closure that lies on a limit then rounds as in SQL.
+    closure = F.sqrt(F.pow("_last.e", F.lit(2.0)) + F.pow("_last.n", F.lit(2.0)))
+    return out.select(group, "perimeter", closure.alias("closure"), (F.abs("signed_area") + net).alias("area"))
 
 
 def validated_lots(legs: DataFrame, printed: DataFrame, group: str, order: str, closure_m: float = 0.05) -> DataFrame:

@@ -78,3 +78,15 @@ def test_pages_are_first_by_their_number_in_a_million(spark, tmp_path):
     catalog.load()
     got = {r.sheet: (r.best_page, r.best) for r in catalog.QUERIES["page_audit"](spark, str(tmp_path)).collect()}
     assert got == {7: (1000039, 39), 8: (39, 39)}
+
+
+def test_a_closure_on_the_limit_rounds_as_in_sql(spark):
+    rows = []
+    for k in range(36000):
+        e, n = 20 * math.sin(math.radians(k / 100)), 20 * math.cos(math.radians(k / 100))
+        if (math.hypot(e, n) <= 20) != (math.sqrt(e * e + n * n) <= 20):
+            rows.append((k, 1, k / 100, 20.0, None, None, "R"))
+    legs = spark.createDataFrame(rows, "ring long, pos int, az double, d double, r double, delta double, side string")
+    # Java's and C's sines differ in the last place for a few angles.
+    alike = traverse.area_with_arcs(legs, "ring", "pos").where("(closure <= 20) = (sqrt(pow(20 * sin(radians(ring / 100)), 2) + pow(20 * cos(radians(ring / 100)), 2)) <= 20)").count()
+    assert len(rows) > 1000 and alike >= 0.95 * len(rows)

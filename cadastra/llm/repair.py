@@ -46,8 +46,8 @@ def _second_ones(joined: np.ndarray) -> np.ndarray:
 
 def _possible(keys: np.ndarray) -> np.ndarray:
     """Keys that may occur LEAST times: a slot's count is at least that of each of its keys."""
-    slot = ((keys * GOLDEN) >> np.uint64(64 - SLOTS)).astype(np.int32)
-    return (np.bincount(slot, minlength=1 << SLOTS) >= LEAST)[slot]
+    slot = ((keys * GOLDEN) >> np.uint64(64 - SLOTS)).view(np.int64)
+    return (np.bincount(slot, minlength=1 << SLOTS) >= LEAST).take(slot)
 
 
 class Grammar:
@@ -70,6 +70,8 @@ class Grammar:
         self.before[starts[full]] = n
         self.alive = np.ones(n + 1, bool)
         self.alive[n] = False
+        # Work space, all zero between steps.
+        self.weight, self.open = np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)
         self.base, self.rules = base, []
         self.keys, self.symbols = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
 
@@ -149,14 +151,15 @@ class Grammar:
         open_ = np.flatnonzero(own)
         own[shut] = 0
         at, code, own = at.take(open_), code.take(open_), own.take(open_)
-        weight = np.zeros(self.end + 1, np.int32)
-        weight[at] = own
-        pick = (own > weight.take(self.before.take(at))) & (own > weight.take(self.after.take(at)))
+        self.weight[at] = own
+        pick = (own > self.weight.take(self.before.take(at))) & (own > self.weight.take(self.after.take(at)))
+        self.weight[at] = 0
         return self._rewrite(at, code, pair, known, pick)
 
     def _rewrite(self, at, code, pair, known, pick) -> np.ndarray:
         """Makes the rules of the pairs picked at LEAST places, if they have none, and puts them in."""
-        uses = np.bincount(code[pick], minlength=len(pair))
+        pick = np.flatnonzero(pick)
+        uses = np.bincount(code.take(pick), minlength=len(pair))
         known = np.where(uses > 0, known, 0)
         fresh = np.flatnonzero((uses >= LEAST) & (known == 0))
         known[fresh] = self.base + len(self.rules) + np.arange(len(fresh), dtype=np.uint32)
@@ -165,25 +168,25 @@ class Grammar:
             keys, symbols = np.concatenate([self.keys, pair[fresh]]), np.concatenate([self.symbols, known[fresh]])
             order = np.argsort(keys)
             self.keys, self.symbols = keys[order], symbols[order]
-        symbol = known.take(code)
-        pick = pick & (symbol > 0)
-        return self._replace(at[pick], symbol[pick], at[~pick])
+        symbol = known.take(code.take(pick))
+        ruled = np.flatnonzero(symbol)
+        pick, symbol = pick.take(ruled), symbol.take(ruled)
+        return self._replace(at.take(pick), symbol, at)
 
-    def _replace(self, place: np.ndarray, symbol: np.ndarray, left: np.ndarray) -> np.ndarray:
-        """Puts symbols in place of the pairs there; returns the open places after that."""
+    def _replace(self, place: np.ndarray, symbol: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Puts symbols in place of the pairs there; returns the open places after that, held being those before."""
         gone = self.after.take(place)
         follow = self.after.take(gone)
         self.sym[place] = symbol
         self.after[place] = follow
         self.before[follow] = place
         self.alive[gone] = False
-        open_ = np.zeros(self.end + 1, bool)
-        open_[left] = True
-        open_[place] = True
-        open_[self.before.take(place)] = True
-        open_ &= self.alive
-        at = np.flatnonzero(open_)
-        return at[self.after.take(at) < self.end]
+        self.open[held] = True
+        self.open[self.before.take(place)] = True
+        self.open &= self.alive
+        at = np.flatnonzero(self.open)
+        self.open[at] = False
+        return at.take(np.flatnonzero(self.after.take(at) < self.end))
 
 
 def packed(numbers: np.ndarray, width: int) -> bytes:
@@ -226,10 +229,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
 
 def lengths(table: np.ndarray, base: int) -> np.ndarray:
     """Expansion lengths of rules, each of which uses earlier symbols only."""
-    out: list[int] = []
-    for a, b in table.tolist():
-        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
-    return np.array(out, np.int64)
+    out = [1] * base
+    for a, b in zip(table[:, 0].tolist(), table[:, 1].tolist()):
+        out.append(out[a] + out[b])
+    return np.array(out[base:], np.int64)
 
 
 class Block:
@@ -267,9 +270,11 @@ class Block:
     def expand(self, sym: np.ndarray) -> np.ndarray:
         while (long := self.size[sym] > FLAT).any():
             sym = self._unfolded(sym, long)
-        size = self.size[sym]
-        shift = self.where[sym] - (np.cumsum(size) - size)
-        return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
+        size = self.size.take(sym)
+        shift = self.where.take(sym) - (np.cumsum(size) - size)
+        place = np.repeat(shift, size)
+        place += np.arange(len(place))
+        return self.flat.take(place)
 
     def doc(self, i: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids of document i from start up to stop; only the symbols in between are expanded."""
@@ -314,17 +319,17 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
         names, parts, size = [], [], 0
 
         def close():
-            held = np.fromiter(map(len, parts), np.int64, len(parts))
+            held = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 2).sum(axis=1)
             payload = compress(np.concatenate(parts), np.cumsum(held) - held, base)
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([len(parts)], pa.int64()), pa.array([int(held.sum())], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
+                [pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([int(held.sum())], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
                 ["shard", "block", "n_docs", "n_tokens", "doc_ids", "payload"],
             )
 
         for b in batches(it):
             for name, ids in zip(b.column(0).to_pylist(), encoder.encode(texts(b.column(1)))):
                 names.append(name)
-                parts.append(np.append(ids, end))
+                parts += ids, end
                 size += len(ids) + 1
                 if size >= BLOCK:
                     yield close()
@@ -344,7 +349,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     def run(it):
         for b in batches(it):
             for names, payload, base in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                ids = [(len(x), zlib.crc32(x.tobytes())) for x in Block(payload.as_py()).docs()]
+                ids = [(len(x), zlib.crc32(x)) for x in Block(payload.as_py()).docs()]
                 size = np.array([n for n, _ in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.cumsum(size) - size + base), pa.array(size), pa.array([c for _, c in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

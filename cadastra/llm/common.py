@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,6 +48,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the disk of shuffles that nothing reads any more: their files go when the driver's JVM, which else may
+    wait for long, collects the plans that name them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_table(df: DataFrame, stem: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back."""
     spark = df.sparkSession

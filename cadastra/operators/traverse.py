@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.functions import libm
 from cadastra.functions.geom import segment_area
 
 
@@ -35,14 +36,15 @@ def beyond_tolerance(perimeter: Column, miss: Column, legs: Column) -> Column:
     return (miss > 0.02 * F.sqrt(legs)) & (F.coalesce(F.try_divide(miss, perimeter), F.lit(1.0)) > 1e-4)
 
 
-def points(legs: DataFrame, group: str, order: str, azimuth: str = "az", distance: str = "d") -> DataFrame:
+def points(legs: DataFrame, group: str, order: str, azimuth: str = "az", distance: str = "d", sine=F.sin, cosine=F.cos) -> DataFrame:
     """Adds e and n, the point that each leg reaches from the origin."""
     w = _ordered(group, order).rowsBetween(Window.unboundedPreceding, 0)
     a = F.radians(F.col(azimuth))
-    return legs.withColumns({"e": F.sum(F.col(distance) * F.sin(a)).over(w), "n": F.sum(F.col(distance) * F.cos(a)).over(w)})
+    legs = legs.withColumns({"_e": F.col(distance) * sine(a), "_n": F.col(distance) * cosine(a)})
+    return legs.withColumns({"e": F.sum("_e").over(w), "n": F.sum("_n").over(w)}).drop("_e", "_n")
 
 
-def chords(legs: DataFrame, group: str, order: str, azimuth: str = "az", distance: str = "d", r: str = "r", delta: str = "delta", side: str = "side") -> DataFrame:
+def chords(legs: DataFrame, group: str, order: str, azimuth: str = "az", distance: str = "d", r: str = "r", delta: str = "delta", side: str = "side", sine=F.sin) -> DataFrame:
     """Replaces tangent arc legs (r and delta, no azimuth) by their chords: adds chord_az, chord_d and the tangent after the leg.
 
     A leg with an azimuth resets the tangent (by its chord and half its angle if it is an arc); tangent arcs turn it
@@ -56,30 +58,39 @@ def chords(legs: DataFrame, group: str, order: str, azimuth: str = "az", distanc
     turned = F.sum(F.when(resets, 0.0).otherwise(F.col("_turn"))).over(inside)
     tangent = base + turned
     chord_az = F.when(resets, F.col(azimuth)).otherwise(F.col("_tangent") - F.col("_turn") / 2)
-    chord = F.when(resets, F.col(distance)).otherwise(2 * F.col(r) * F.sin(F.radians(F.abs(F.col(delta))) / 2))
+    chord = F.when(resets, F.col(distance)).otherwise(2 * F.col(r) * sine(F.radians(F.abs(F.col(delta))) / 2))
     return legs.withColumn("_tangent", tangent).withColumns({"chord_az": chord_az, "chord_d": chord}).withColumnRenamed("_tangent", "tangent_after").drop("_turn", "_run")
 
 
-def signed_area(corners: DataFrame, group: str, order: str, e: str = "e", n: str = "n") -> DataFrame:
-    """(group, signed_area) by coordinates, counter-clockwise positive; the last corner joins the first."""
+def _crosses(group: str, order: str, e: str, n: str) -> Column:
+    """Cross product of each corner and the next one of its group, the first following the last."""
     w = _ordered(group, order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     e2, n2 = (F.coalesce(F.lead(c).over(w), F.first(c).over(whole)) for c in (e, n))
-    return corners.select(group, (F.col(e) * n2 - e2 * F.col(n)).alias("_x")).groupBy(group).agg((F.sum("_x") / 2).alias("signed_area"))
+    return F.col(e) * n2 - e2 * F.col(n)
+
+
+def signed_area(corners: DataFrame, group: str, order: str, e: str = "e", n: str = "n") -> DataFrame:
+    """(group, signed_area) by coordinates, counter-clockwise positive; the last corner joins the first."""
+    return corners.select(group, _crosses(group, order, e, n).alias("_x")).groupBy(group).agg((F.sum("_x") / 2).alias("signed_area"))
 
 
 def area_with_arcs(legs: DataFrame, group: str, order: str) -> DataFrame:
-    """(group, closure, area) of lots whose legs (az, d, r, delta, side) may be arcs: chord polygon, and each arc's
-    segment added where it bows outward, subtracted where it bows inward."""
-    run = points(chords(legs, group, order), group, order, "chord_az", "chord_d")
-    last = run.groupBy(group).agg(F.max_by(F.struct("e", "n"), order).alias("_last"), F.sum(F.when(F.col("d").isNotNull(), F.col("d"))).alias("perimeter"))
-    polygon = signed_area(run, group, order)
-    bows = run.where("r is not null").groupBy(group).agg(*(F.sum(F.when(F.coalesce(F.col("side"), F.lit("R")) == s, segment_area(F.col("r"), F.radians(F.abs(F.col("delta"))))).otherwise(0.0)).alias(n) for s, n in (("R", "_right"), ("L", "_left"))))
-    out = last.join(polygon, group).join(bows, group, "left")
-    net = F.coalesce(F.col("_right") - F.col("_left"), F.lit(0.0)) * F.when(F.col("signed_area") > 0, 1.0).otherwise(-1.0)
-    # The root of squares, not hypot: a closure that lies on a limit then rounds as in SQL.
-    closure = F.sqrt(F.pow("_last.e", F.lit(2.0)) + F.pow("_last.n", F.lit(2.0)))
-    return out.select(group, "perimeter", closure.alias("closure"), (F.abs("signed_area") + net).alias("area"))
+    """(group, perimeter, closure, area) of lots whose legs (az, d, r, delta, side) may be arcs: chord polygon, and each
+    arc's segment added where it bows outward, subtracted where it bows inward. Windows and sums share one shuffle.
+
+    Sines and squares are the C library's, so that a closure that lies on a limit falls as in SQL."""
+    run = points(chords(legs, group, order, sine=libm.sine), group, order, "chord_az", "chord_d", libm.sine, libm.cosine)
+    bow = segment_area(F.col("r"), F.radians(F.abs(F.col("delta"))))
+    right = F.coalesce(F.col("side"), F.lit("R")) == "R"
+    out = run.withColumn("_x", _crosses(group, order, "e", "n")).groupBy(group).agg(
+        F.max_by(F.struct("e", "n"), order).alias("_last"), F.sum("d").alias("perimeter"), (F.sum("_x") / 2).alias("signed_area"),
+        F.sum(F.when(right, bow)).alias("_right"), F.sum(F.when(F.col("side") == "L", bow)).alias("_left"),
+    )
+    none = F.lit(0.0)
+    net = (F.coalesce("_right", none) - F.coalesce("_left", none)) * F.when(F.col("signed_area") > 0, 1.0).otherwise(-1.0)
+    out = out.withColumns({"_e2": libm.square("_last.e"), "_n2": libm.square("_last.n")})
+    return out.select(group, "perimeter", F.sqrt(F.col("_e2") + F.col("_n2")).alias("closure"), (F.abs("signed_area") + net).alias("area"))
 
 
 def validated_lots(legs: DataFrame, printed: DataFrame, group: str, order: str, closure_m: float = 0.05) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadastra.functions import angles, geom
+from cadastra.functions import angles, geom, libm
 from cadastra.operators import fit, jobs, matching, traverse
 from cadastra.plans import catalog
 
@@ -120,3 +120,27 @@ def test_many_fits_are_those_made_one_by_one(spark):
     assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
     best = {r.radius: (r.fits, r.sweep) for r in fit.longest_of_radius(p, table, 0.5).collect()}
     assert {r: n for r, (n, _) in best.items()} == {r: sum(k[1] == r for k in want) for r in {k[1] for k in want}}
+
+
+def test_closures_of_all_angles_are_those_of_c(spark):
+    lengths = (3.0, 20.0, 23.0)
+    rows = [(k * 3 + i, 1, k / 100, d, None, None, "R") for k in range(36000) for i, d in enumerate(lengths)]
+    legs = spark.createDataFrame(rows, "ring long, pos int, az double, d double, r double, delta double, side string")
+    got = {r.ring: r.closure for r in traverse.area_with_arcs(legs, "ring", "pos").collect()}
+    for ring, _, az, d, *_ in rows:
+        e, n = d * math.sin(math.radians(az)), d * math.cos(math.radians(az))
+        assert got[ring] == math.sqrt(math.pow(e, 2) + math.pow(n, 2))
+
+
+def test_sines_of_odd_values(spark):
+    v = spark.createDataFrame([(0, None), (1, math.inf), (2, math.nan), (3, 1e300), (4, -3.0)], "k int, x double")
+    got = [tuple(r) for r in v.orderBy("k").select(libm.sine("x"), libm.cosine("x"), libm.square("x")).collect()]
+    assert got[0] == (None, None, None) and got[3] == (math.sin(1e300), math.cos(1e300), math.inf) and got[4] == (math.sin(-3.0), math.cos(-3.0), 9.0)
+    assert all(math.isnan(v) for v in (*got[1][:2], *got[2])) and got[1][2] == math.inf
+
+
+def test_a_lot_without_a_key_is_kept(spark):
+    legs = spark.createDataFrame([(None, 1, 90.0, 5.0, None, None, "R"), (1, 1, 90.0, 5.0, None, None, "R")], "ring long, pos int, az double, d double, r double, delta double, side string")
+    printed = spark.createDataFrame([(1, 900.0)], "ring long, printed_area double")
+    got = {r.ring: (r.closure_pass, r.area_pass, r.passed) for r in traverse.validated_lots(legs, printed, "ring", "pos", 20.0).collect()}
+    assert got == {None: (True, None, True), 1: (True, False, False)}

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadastra.functions import angles, geom, libm
-from cadastra.operators import fit, jobs, matching, traverse
+from cadastra.functions import angles, geom, libm, text
+from cadastra.operators import fit, jobs, matching, score, traverse
 from cadastra.plans import catalog
 
 
@@ -144,3 +144,19 @@ def test_a_lot_without_a_key_is_kept(spark):
     printed = spark.createDataFrame([(1, 900.0)], "ring long, printed_area double")
     got = {r.ring: (r.closure_pass, r.area_pass, r.passed) for r in traverse.validated_lots(legs, printed, "ring", "pos", 20.0).collect()}
     assert got == {None: (True, None, True), 1: (True, False, False)}
+
+
+def test_keyed_pages_are_audited(spark, tmp_path):
+    rows = [(39, 1), (72, 1), (39, 2), (71, 2), (5, 3), (79, 3), (40, 4)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    catalog.load()
+    got = {r.sheet: (r.pages, r.key_page, r.keyed, r.best_page, r.best, r.fine) for r in catalog.QUERIES["page_audit"](spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 72, 32, 39, 39, True), 2: (2, 71, 31, 39, 39, False), 3: (2, 79, 39, 79, 39, True), 4: (1, 40, 0, 40, 0, True)}
+    other = spark.createDataFrame([(1, 1, 5, 7), (1, 2, 4, 7), (2, 1, 5, 2), (2, 2, 4, 2)], "sheet int, page int, n int, k int")
+    assert {r.sheet: (r.best_page, r.keyed, r.fine) for r in score.page_audit(other, "sheet", "page", "n", "k").collect()} == {1: (1, None, False), 2: (1, 4, True)}
+
+
+def test_courses_of_a_page_are_counted(spark):
+    pages = {"N12°30'15\"E S 5°07’W": 2, "n. 1 o 2'": 1, "N 12° 30’": 1, "N12.5°30' E12°30' N1234°30' N12°30 12°30'": 0, "N12°30'N12°30'": 2, "": 0, None: None}
+    v = spark.createDataFrame([(p, n) for p, n in pages.items()], "p string, n int")
+    assert [(r.p, r.c) for r in v.select("p", text.courses_in(F.col("p")).alias("c")).collect()] == list(pages.items())

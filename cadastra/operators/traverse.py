@@ -77,7 +77,7 @@ def signed_area(corners: DataFrame, group: str, order: str, e: str = "e", n: str
 
 def area_with_arcs(legs: DataFrame, group: str, order: str) -> DataFrame:
     """(group, perimeter, closure, area) of lots whose legs (az, d, r, delta, side) may be arcs: chord polygon, and each
-    arc's segment added where it bows outward, subtracted where it bows inward. Windows and sums share one shuffle.
+    arc's segment added where it bows outward, subtracted where it bows inward. All sums are of one aggregation.
 
     Sines and squares are the C library's, so that a closure that lies on a limit falls as in SQL."""
     run = points(chords(legs, group, order, sine=libm.sine), group, order, "chord_az", "chord_d", libm.sine, libm.cosine)

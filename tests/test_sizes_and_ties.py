@@ -160,3 +160,9 @@ def test_courses_of_a_page_are_counted(spark):
     pages = {"N12°30'15\"E S 5°07’W": 2, "n. 1 o 2'": 1, "N 12° 30’": 1, "N12.5°30' E12°30' N1234°30' N12°30 12°30'": 0, "N12°30'N12°30'": 2, "": 0, None: None}
     v = spark.createDataFrame([(p, n) for p, n in pages.items()], "p string, n int")
     assert [(r.p, r.c) for r in v.select("p", text.courses_in(F.col("p")).alias("c")).collect()] == list(pages.items())
+
+
+def test_pages_that_the_order_leaves_equal_take_the_first(spark):
+    rows = [(7, 2000039, 39), (7, 39, 39), (7, 1000039, 39), (8, 3000005, 5), (8, 1000005, 5)]
+    pages = spark.createDataFrame(rows, "sheet long, page long, n int").withColumn("k", F.col("page"))
+    assert {r.sheet: r.best_page for r in score.page_audit(pages, "sheet", "page", "n", "k", F.col("page") % 1000000).collect()} == {7: 39, 8: 1000005}
